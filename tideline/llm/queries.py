@@ -11,6 +11,11 @@ from .chat import chat_digests, format_conversations
 from .common import only, table
 from .secrets import scan_secrets
 from .token_counts import token_counts
+from .token_store import token_store
+
+
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=1)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +33,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_store": op1_token_store,
     "op6_token_counts": op6_token_counts,
     "op8_secret_scans": op8_secret_scans,
     "op10_chat_formatting": op10_chat_formatting,
