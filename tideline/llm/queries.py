@@ -11,6 +11,7 @@ from .chat import chat_digests, format_conversations
 from .common import only, table
 from .langid import held_out, identify, train
 from .mtree import quantized, top_k
+from .pieces import encode_pieces
 from .secrets import scan_secrets
 from .token_counts import token_counts
 from .token_store import token_store
@@ -26,6 +27,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), n=4)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
@@ -48,6 +53,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op4_language_id": op4_language_id,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_token_counts": op6_token_counts,
     "op7_exact_top_k": op7_exact_top_k,
     "op8_secret_scans": op8_secret_scans,
