@@ -11,6 +11,32 @@ import pyarrow.compute as pc
 SLICE_BYTES = 12_000_000
 
 
+class Recent(dict):
+    """What was worked out for keys seen lately, in two generations of at most `limit` keys and those of one call.
+
+    Keys that come again move to the young generation; the old one is dropped when the young is full. So common
+    keys stay and rare ones go, within a bound on memory.
+    """
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.old = limit, {}
+
+    def recall(self, keys: list) -> list:
+        """Bring the known ones of `keys` (distinct) up to this generation; return the unknown ones, for the caller to set."""
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
+        unknown, old = [], self.old
+        for k in keys:
+            if k not in self:
+                if k in old:
+                    self[k] = old[k]
+                else:
+                    unknown.append(k)
+        return unknown
+
+
 def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Row ranges of a batch that hold about `limit` bytes of text each (one row at least), every row once."""
     if batch.num_rows == 0:
