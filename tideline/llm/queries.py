@@ -12,6 +12,7 @@ from .chunks import repeated_passages
 from .common import only, table
 from .langid import held_out, identify, train
 from .mtree import quantized, top_k
+from .near_dups import near_duplicates
 from .pieces import encode_pieces
 from .secrets import scan_secrets
 from .token_counts import token_counts
@@ -22,6 +23,10 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=1)
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = identify(only(docs, doc_id="long", text="string"), train(docs))
@@ -57,6 +62,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op4_language_id": op4_language_id,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_token_counts": op6_token_counts,
