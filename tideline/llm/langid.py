@@ -176,19 +176,19 @@ def train(docs: DataFrame, sample_docs: int = 4000, words_kept: int = 30_000, gr
 # --- prediction ---------------------------------------------------------------------------------------------
 
 
-def _predict_batches(shared):
+def _predict_batches(shared, names: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             for part in arrowtext.slices(batch, TEXT):
                 lang, share = model.predict(arrowtext.texts(part, TEXT))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(share)], [*part.schema.names[:-1], "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(share)], [*part.schema.names[:-1], *names])
 
     return run
 
 
-def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """lang_pred and score of every row's whole text, beside the columns `keep`; no shuffle.
+def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """lang_pred and score (under `names`) of every row's whole text, beside the columns `keep`; no shuffle.
 
     Text alone enters a prediction. A null text, or one without a letter, is 'und' with score 0; repeated rows are
     each predicted; columns not in `keep` are ignored whatever their names. The model is broadcast: its size is
@@ -197,4 +197,4 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     chosen = docs.select(*keep, F.col("text").cast("string").alias(TEXT))
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in chosen.schema.fields[:-1])
-    return chosen.mapInArrow(_predict_batches(shared), f"{schema}lang_pred string, score double")
+    return chosen.mapInArrow(_predict_batches(shared, names), f"{schema}`{names[0]}` string, `{names[1]}` double")
