@@ -1 +1 @@
-
+"""Readers and the adapters that bring tables into the trade schema."""
