@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import detection
+from . import attribution, detection, inference, studies
 
-MODULES = (detection,)
+MODULES = (detection, attribution, inference, studies)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: text for m in MODULES for name, text in m.ORACLE.items()}

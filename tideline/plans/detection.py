@@ -10,6 +10,22 @@ from ..sources import trades as source
 from .sql import grid, query
 
 SIZE, HEAD = 20, 20
+_SHARED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def shared(f):
+    """Keep a bucket- or window-level table, small beside its trades, for the queries of a session that build on it."""
+
+    def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir, f"{f.__module__}.{f.__name__}")
+        if key not in _SHARED:
+            _SHARED[key] = f(spark, sf_dir).persist()
+        return _SHARED[key]
+
+    kept.__name__ = f.__name__
+    return kept
+
+
 CONFIG = walk.WalkConfig(start=HEAD)
 
 
@@ -21,14 +37,17 @@ def bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return buckets.assign_buckets(source.on_grid(trades(spark, sf_dir)), SIZE)
 
 
+@shared
 def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return buckets.channel_rows(buckets.features(bucketed(spark, sf_dir)))
 
 
+@shared
 def standard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return baseline.standardized(channels(spark, sf_dir), HEAD)
 
 
+@shared
 def walked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walk.reflected_walk(standard(spark, sf_dir), CONFIG)
 

@@ -1 +1 @@
-
+"""Structured Streaming variants of the detector and of calendar resampling."""
