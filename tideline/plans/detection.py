@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.expr import micro
@@ -13,22 +16,33 @@ SIZE, HEAD = 20, 20
 _SHARED: dict[tuple[str, str, str], DataFrame] = {}
 
 
+CONFIG = walk.WalkConfig(start=HEAD)
+
+
+def _folder(spark: SparkSession) -> str:
+    """The folder all executors share, or one of our own where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="tideline-plans-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
+
 def shared(f):
-    """Keep a bucket- or window-level table, small beside its trades, for the queries of a session that build on it."""
+    """Write a bucket- or window-level table, small beside its trades, once a session for the queries that build on it."""
 
     def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
         key = (spark.sparkContext.applicationId, sf_dir, f"{f.__module__}.{f.__name__}")
         if key not in _SHARED:
-            _SHARED[key] = f(spark, sf_dir).persist()
+            path = f"{_folder(spark)}/{f.__name__}-{uuid.uuid4().hex[:12]}"
+            f(spark, sf_dir).write.parquet(path)
+            _SHARED[key] = spark.read.parquet(path)
         return _SHARED[key]
 
     kept.__name__ = f.__name__
     return kept
 
 
-CONFIG = walk.WalkConfig(start=HEAD)
-
-
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source.event_trades(source.read(spark, sf_dir, "events"))
 

@@ -122,7 +122,7 @@ def status_ladder(spark, sf_dir):
 
 
 def two_layer(spark, sf_dir):
-    layer = F.when(F.coalesce("headline_reject", F.lit(False)), F.concat(F.lit("validated_"), "leg_that_rejected")).when("screen_reject", "screening").otherwise("none")
+    layer = F.when(F.coalesce("headline_reject", F.lit(False)), F.concat(F.lit("validated_"), "leg_that_rejected")).when(F.col("screen_reject"), "screening").otherwise("none")
     return decided(spark, sf_dir).groupBy("window_id", layer.alias("layer")).agg(F.count(F.lit(1)).alias("n"))
 
 

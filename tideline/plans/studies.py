@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -117,8 +116,7 @@ def detection_on_tilt(spark, sf_dir):
 
 
 def _folder(spark):
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tideline-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex[:8]}"
+    return f"{d._folder(spark)}/stream-{uuid.uuid4().hex[:8]}"
 
 
 def _event_stream(spark, sf_dir):
