@@ -31,7 +31,7 @@ from .token_counts import byte_letters
 
 DIGEST = 16
 LEAST, MOST, CUT_BITS = 64, 1024, 8  # ids in a chunk: 64 at least, 1024 at most, a cut at one place of 256 between
-CACHE_ENTRIES = 300_000
+CACHED_PIECES, CACHED_SEGMENTS = 600_000, 100_000  # in each of two generations
 SEEN_CHUNKS = 200_000
 
 
@@ -55,17 +55,17 @@ class SegmentEncoder:
         self.ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
         self.breaks = dict.fromkeys(map(ord, "\t\n\r"))
         self.any = regex.compile(self.PRETOKEN)
-        self.pieces: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
+        self.pieces, self.known = arrowtext.Recent(CACHED_PIECES), arrowtext.Recent(CACHED_SEGMENTS)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
     def piece(self, word: str) -> bytes:
-        found = self.pieces.get(word)
+        found = self.pieces.get(word) or self.pieces.old.get(word)
         if found is None:
             spelled = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
-            found = self.pieces[word] = np.array([t.id for t in self.model.tokenize(spelled)], dtype=self.dtype).tobytes()
+            found = np.array([t.id for t in self.model.tokenize(spelled)], dtype=self.dtype).tobytes()
+        self.pieces[word] = found
         return found
 
     def segment(self, s: str) -> bytes:
@@ -77,19 +77,12 @@ class SegmentEncoder:
 
     def encode(self, values: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other and each closed by `end`, and the offsets of the texts."""
-        if len(self.pieces) > CACHE_ENTRIES:
-            self.pieces.clear()
-        if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
         distinct, codes, offsets = arrowtext.segments(values)
         found = distinct.to_pylist()
-        get, known = self.known.get, self.known
-        pool = []
-        for s in found:
-            ids = get(s)
-            if ids is None:
-                ids = known[s] = self.segment(s)
-            pool.append(ids)
+        self.pieces.recall([])
+        for x in self.known.recall(found):
+            self.known[x] = self.segment(x)
+        pool = list(map(self.known.__getitem__, found))
         length = np.fromiter(map(len, pool), np.int64, len(pool)) // self.dtype.itemsize
         flat = np.frombuffer(b"".join(pool), dtype=self.dtype)
         begin = np.cumsum(length) - length
