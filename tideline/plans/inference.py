@@ -184,6 +184,7 @@ SELECT *, CASE WHEN holm_mag_reject AND holm_dir_reject THEN 'both' WHEN holm_ma
 _choose = lambda n, k: f"(SELECT value FROM i_logs WHERE k = {n}) - (SELECT value FROM i_logs WHERE k = {k}) - (SELECT value FROM i_logs WHERE k = {n} - {k})"
 ORACLE = {
     "cells": query("SELECT * FROM i_cells"),
+    "cell_seeds": query("SELECT cell_id, CAST(CAST('0x' || substr(sha256('2026|' || window_id || '|' || cell_id), 1, 16) AS UBIGINT) AS VARCHAR) AS cell_seed FROM i_cells"),
     "fixed_slot_share": query("SELECT s.window_id, s.active_wallet, count(*) AS n_slots, count_if(NOT c.movable) AS n_fixed, count_if(NOT c.movable) > 0.2::DOUBLE * count(*) AS low_power, count_if(NOT c.movable) = count(*) AS no_movable_slots FROM i_slots s JOIN i_cells c USING (cell_id) GROUP BY 1, 2"),
     "orbit_log": query(f"SELECT window_id, active_wallet, n_slots, {grid('log_orbit')} AS log_orbit FROM i_orbits"),
     "family_sizes": query("SELECT DISTINCT window_id, m_screening, m_confirmatory FROM i_families"),
