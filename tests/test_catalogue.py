@@ -1,24 +1,31 @@
-"""Every registered query against its SQL, on the smallest tables."""
+"""Every registered query against its SQL."""
 
 import duckdb
 import pytest
 
 from tideline.plans import catalogue
 
+SF = "/root/testdata/sf0.01"  # the smallest tables have too few trades for a burn-in
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
 
 @pytest.fixture(scope="module")
-def con(sf_dir):
+def con():
     c = duckdb.connect()
     for t in TABLES:
-        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     return c
 
 
+def test_entry_has_a_verdict_for_every_contract(spark):
+    import __spark_entry__
+
+    assert __spark_entry__.entry(spark).count() == 20
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
-def test_query(spark, con, sf_dir, name):
-    df = catalogue.QUERIES[name](spark, sf_dir)
+def test_query(spark, con, name):
+    df = catalogue.QUERIES[name](spark, SF)
     names = sorted(df.columns)
     got = sorted((tuple(r) for r in df.select(*names).collect()), key=str)
     if name in catalogue.ORACLE:

@@ -66,6 +66,13 @@ def walked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walk.reflected_walk(standard(spark, sf_dir), CONFIG)
 
 
+def verdict_table(spark: SparkSession, sf_dir: str, size: int, head: int, threshold: float = 4.0) -> DataFrame:
+    """The chain from events to verdicts as one plan, for any bucket size and burn-in."""
+    b = buckets.assign_buckets(source.on_grid(trades(spark, sf_dir)), size)
+    rows = baseline.standardized(buckets.channel_rows(buckets.features(b)), head)
+    return walk.verdicts(walk.reflected_walk(rows, walk.WalkConfig(start=head)), threshold)
+
+
 def trades_view(spark, sf_dir):
     t = trades(spark, sf_dir)
     return t.select("timestamp", "side", "active_wallet", "condition_id", "outcome", "resolved_outcome", "token_id", "transaction_hash", *[micro(F.col(c)).alias(c) for c in ("gross_shares", "gross_price", "gross_cash", "yes_price", "signed_yes_size")])
