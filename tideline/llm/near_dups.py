@@ -23,7 +23,7 @@ from .components import components
 
 K = 64
 NEED = 33  # at similarity 0.8 a pair shares fewer of 64 retained values with a chance of about one in ten million
-BLOCK = 512
+BLOCK, VALUES = 256, 2048
 FIRST_PARTNERS = 3
 BROADCAST_BYTES = 16 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -34,11 +34,9 @@ def shingle_sets(values: pa.Array, width: int) -> Iterator[np.ndarray]:
 
     A text with fewer words has its whole sequence as one shingle; a text without words has none.
     """
-    import pyarrow.compute as pc
-
-    distinct, codes, offsets = arrowtext.words(pc.ascii_lower(values))
+    distinct, codes, offsets = arrowtext.words(values)
     digest = xxhash.xxh3_64_intdigest
-    hashes = np.fromiter((digest(w) for w in distinct.to_pylist()), np.uint64, len(distinct))[codes]
+    hashes = np.fromiter((digest(w.encode().lower()) for w in distinct.to_pylist()), np.uint64, len(distinct))[codes]
     joined = np.zeros(max(0, len(hashes) - width + 1), np.uint64)
     for k in range(width):
         joined = (joined ^ hashes[k : k + len(joined)]) * _A
@@ -84,27 +82,39 @@ def needed(n: int) -> int:
     return min(NEED, math.ceil(0.8 * min(n, K)))
 
 
+def _side(row: pa.StructScalar | pa.ListScalar) -> tuple[np.ndarray, ...]:
+    """ids, sizes, labels, flat sketches and the member of each sketch value, without a Python object a value."""
+    members = row.values
+    sketch = members.field("sketch")
+    width = np.diff(sketch.offsets.to_numpy())
+    return (*(members.field(c).to_numpy() for c in ("id", "n", "label")), sketch.flatten().to_numpy(), np.repeat(np.arange(len(members)), width))
+
+
 def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of unlike label, within and between two blocks of an inverted list, that share enough retained values."""
+    """Pairs of unlike label, within and between two blocks of an inverted list, that share enough retained values.
+
+    A row, two blocks at most, is unpacked at a time. Shared values are counted by the products of 0-1 tables over
+    slices of the values, so that no table has more than BLOCK * VALUES cells.
+    """
     for batch in batches:
-        for row in batch.to_pylist():
-            left, right = row["left"], row["right"] if row["right"] is not None else row["left"]
-            sketches = [np.array(m["sketch"], np.int64) for m in (*left, *right)]
-            value, column = np.unique(np.concatenate(sketches), return_inverse=True)
-            owner = np.repeat(np.arange(len(sketches)), [len(s) for s in sketches])
-            often = np.bincount(column, minlength=len(value)) > 1
-            place = np.cumsum(often) - 1
-            grid = np.zeros((len(sketches), int(often.sum())), np.float32)
-            hit = often[column]
-            grid[owner[hit], place[column[hit]]] = 1
-            shared = grid[: len(left)] @ grid[len(left) :].T
-            size = lambda side: np.array([m["n"] for m in side])[:, None]
-            label = lambda side: np.array([m["label"] for m in side])[:, None]
-            need = np.minimum(NEED, np.ceil(0.8 * np.minimum(np.minimum(size(left), size(right).T), K)))
-            good = (shared >= need) & (label(left) != label(right).T) & (100 * np.minimum(size(left), size(right).T) >= 80 * np.maximum(size(left), size(right).T))
+        for k in range(batch.num_rows):
+            left = _side(batch.column(0)[k])
+            right = _side(batch.column(1)[k]) if batch.column(1)[k].is_valid else left
+            both = np.intersect1d(left[3], right[3])
+            shared = np.zeros((len(left[0]), len(right[0])), np.float32)
+            for start in range(0, len(both), VALUES):
+                some = both[start : start + VALUES]
+                tables = []
+                for side in (left, right):
+                    at = np.minimum(np.searchsorted(some, side[3]), len(some) - 1)
+                    hit = some[at] == side[3]
+                    tables.append(np.zeros((len(side[0]), len(some)), np.float32))
+                    tables[-1][side[4][hit], at[hit]] = 1
+                shared += tables[0] @ tables[1].T
+            small, large = np.minimum(left[1][:, None], right[1]), np.maximum(left[1][:, None], right[1])
+            good = (shared >= np.minimum(NEED, np.ceil(0.8 * np.minimum(small, K)))) & (left[2][:, None] != right[2]) & (100 * small >= 80 * large)
             i, j = np.nonzero(good)
-            ids = [np.array([m["id"] for m in side]) for side in (left, right)]
-            a, b = ids[0][i], ids[1][j]
+            a, b = left[0][i], right[0][j]
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b), pa.int64()), pa.array(np.minimum(a, b), pa.int64()), pa.array(shared[i, j].astype(np.int32))], ["u", "v", "shared"])
 
 
