@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 
 def holm(rows: DataFrame, p: str, family: str, key: str, alpha: float = 0.05, out: str = "holm") -> DataFrame:
-    """Adds {out}_p, the running largest of (m - j) p in order of p capped at 1, and {out}_reject. Rows with null p are no members."""
+    """Adds {out}_p, the running largest of (m - j) p in order of p capped at 1, {out}_threshold, alpha / (m - j), and {out}_reject. Rows with null p are no members."""
     order = Window.partitionBy(family, F.col(p).isNull()).orderBy(p, key)
     m = F.count(p).over(Window.partitionBy(family))
     step = (m - F.row_number().over(order) + 1) * F.col(p)
-    told = rows.withColumn(f"{out}_step", F.when(F.col(p).isNotNull(), step))
+    told = rows.withColumn(f"{out}_step", F.when(F.col(p).isNotNull(), step)).withColumn(f"{out}_threshold", F.when(F.col(p).isNotNull(), alpha / (m - F.row_number().over(order) + 1)))
     adjusted = F.least(F.lit(1.0), F.max(f"{out}_step").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     told = told.withColumn(f"{out}_p", F.when(F.col(p).isNotNull(), adjusted))
     return told.withColumn(f"{out}_reject", F.col(f"{out}_p") <= alpha).drop(f"{out}_step")
@@ -40,3 +40,10 @@ def status(rows: DataFrame, t_star: float) -> DataFrame:
     headline = F.coalesce(F.col("headline_reject"), F.lit(False))
     label = F.when(headline & (least <= t_star), "confirmed_repeat_active").when(headline, "review_queue").when(F.coalesce(F.col("screen_reject"), F.lit(False)), "bh_review_screen").when(F.col("top10"), "top10_descriptive")
     return rows.withColumn("status", label)
+
+
+def calibrated_status(rows: DataFrame, t_star: float) -> DataFrame:
+    """The reference's ladder: a Holm rejection on size counts as a finding only with p_mag at most t_star, one on direction always."""
+    mag, direction, screened = (F.coalesce(F.col(c), F.lit(False)) for c in ("holm_mag_reject", "holm_dir_reject", "screen_reject"))
+    label = F.when((mag & (F.col("p_mag") <= t_star)) | direction, "confirmed_repeat_active").when(mag, "review_queue").when(screened, "bh_review_screen").when(F.col("top10"), "top10_descriptive")
+    return rows.withColumn("status", label)

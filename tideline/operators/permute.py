@@ -129,29 +129,37 @@ def philox_counts(slots: DataFrame, draws: int = 2000, seed_base: int = 2026, ba
         pdf = pdf.assign(_p=pdf["profile"].map(order)).sort_values(["bucket_index", "_p", "slot_index"])
         names, wallet = np.unique(pdf["active_wallet"].to_numpy(str), return_inverse=True)
         values = [pdf[w].to_numpy(np.int64) for w in weights]
-        seen = [np.bincount(wallet, v, len(names)).astype(np.int64) for v in values]
         chunk = int(pdf["chunk"].iloc[0])
         mine = len(range(chunk, draws, chunks))
         ids = pdf["cell_id"].to_numpy(str)
         edges = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1], [True]]))
-        streams = []
-        for a, b in zip(edges[:-1], edges[1:]):
+        moving = [(a, b) for a, b in zip(edges[:-1], edges[1:]) if (wallet[a:b] != wallet[a]).any()]
+        counts = np.full((len(weights), len(names)), mine, np.int64)  # what stays in every draw is reached in every draw
+        slots_ = np.concatenate([np.arange(a, b) for a, b in moving]) if moving else np.zeros(0, np.int64)
+        movers, wallet = np.unique(wallet[slots_], return_inverse=True)
+        values = [v[slots_] for v in values]
+        seen = [np.bincount(wallet, v, len(movers)).astype(np.int64) for v in values]
+        streams, at = [], 0
+        for a, b in moving:
             text = f"{seed_base}|{pdf[WINDOW].iloc[0]}|{ids[a]}" + (f"|c{chunk}" if chunks > 1 else "")
-            streams.append((a, b, np.random.Generator(np.random.Philox(int(hashlib.sha256(text.encode()).hexdigest()[:16], 16)))))
-        counts = np.zeros((len(weights), len(names)), np.int64)
-        for start in range(0, mine, batch):
+            streams.append((at, at + b - a, np.random.Generator(np.random.Philox(int(hashlib.sha256(text.encode()).hexdigest()[:16], 16)))))
+            at += b - a
+        counts[:, movers] = 0
+        tiled = [np.tile(v.astype(np.float64), min(batch, mine)) for v in values]
+        for start in range(0, mine if moving else 0, batch):
             n = min(batch, mine - start)
             labels = np.tile(wallet, (n, 1))
             for a, b, stream in streams:
-                if len(np.unique(wallet[a:b])) > 1:
-                    labels[:, a:b] = stream.permuted(labels[:, a:b], axis=1)
-            flat = (labels + np.arange(n)[:, None] * len(names)).ravel()
-            for k, v in enumerate(values):
-                totals = np.bincount(flat, np.tile(v, n), n * len(names)).reshape(n, len(names))
-                counts[k] += (totals >= seen[k]).sum(axis=0)
+                labels[:, a:b] = stream.permuted(labels[:, a:b], axis=1)
+            flat = (labels + np.arange(n)[:, None] * len(movers)).ravel()
+            for k, v in enumerate(tiled):
+                totals = np.bincount(flat, v[: len(flat)], n * len(movers)).reshape(n, len(movers))
+                counts[k, movers] += (totals >= seen[k]).sum(axis=0)
         return pd.DataFrame({WINDOW: pdf[WINDOW].iloc[0], "active_wallet": names, **{f"n_{w}": c for w, c in zip(weights, counts)}, "draws": mine})
 
     spread = slots.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    if chunks > 1:  # draws cost far more than rows: by size alone the chunks would be put together again
+        spread = spread.repartition(chunks, WINDOW, "chunk")
     parts = spread.groupBy(WINDOW, "chunk").applyInPandas(run, f"{WINDOW} string, active_wallet string, n_e long, n_sign long, n_dnc long, n_dfa long, draws long")
     return parts.groupBy(WINDOW, "active_wallet").agg(*[F.sum(c).alias(c) for c in ("n_e", "n_sign", "n_dnc", "n_dfa", "draws")])
 
@@ -167,3 +175,18 @@ def p_values(counts: DataFrame) -> DataFrame:
     told = counts.withColumn("p_mag", p("n_mag")).withColumn("p_dir", p("n_dir"))
     sigma = lambda c: F.when(F.col(c) < 1, F.abs(F.col(c) - 0.025) / F.sqrt(F.col(c) * (1 - F.col(c)) / F.col("draws")))
     return told.withColumn("sigma_mag", sigma("p_mag")).withColumn("sigma_dir", sigma("p_dir")).withColumn("review", F.coalesce(F.least("sigma_mag", "sigma_dir") < 3, F.lit(False)))
+
+
+def distances(decided: DataFrame, least: float = 3.0) -> DataFrame:
+    """Signed distance of p from the threshold its Holm step used, in Monte Carlo standard errors, for members of the family.
+
+    At p = 1 no Monte Carlo error is left, so the distance is infinite. review: a leg within `least`; null for others.
+    """
+
+    def sigma(leg: str):
+        p = F.col(f"p_{leg}")
+        error = F.sqrt(p * (1 - p) / F.col("draws"))
+        return F.when(F.col(f"holm_{leg}_threshold").isNotNull(), F.when(error > 0, (p - F.col(f"holm_{leg}_threshold")) / error).otherwise(F.lit(float("inf"))))
+
+    told = decided.withColumn("sigma_mag", sigma("mag")).withColumn("sigma_dir", sigma("dir"))
+    return told.withColumn("review", F.least(F.abs("sigma_mag"), F.abs("sigma_dir")) < least)
