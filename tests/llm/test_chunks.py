@@ -64,3 +64,34 @@ def test_repeats_are_found_and_clean_documents_left_alone(spark):
             a, b = map(int, span.split(":"))
             assert text[i][a + 5 : b - 5].decode() in passage[i // 10 % 20]  # by chance a letter or two more agree
     assert C.repeated_passages(df.limit(0)).count() == 0
+
+
+def test_every_passage_of_51_words_is_found_with_exact_ends_whatever_its_bytes(spark):
+    rng = random.Random(7)
+    passages = [sentence(f"q{i}", 51) for i in range(150)] + [" ".join(["no"] * 51), " ".join(["a b c", "d"] * 13), "\t".join(["x"] * 51), "  ".join(rng.choice("ab") for _ in range(51))]
+    few = ["short of it " + sentence("r", 46), " ".join(["yes"] * 49)]
+    rows, want = [], {}
+    for i, p in enumerate(passages + few):
+        for k in range(2):
+            lead = sentence(f"l{i}-{k}", rng.randint(0, 40)) + f" §{i}-{k} "
+            rows.append((2 * i + k, f"{lead}{p} §{k} " + sentence(f"t{i}-{k}", 5)))
+            if i < len(passages):
+                want[2 * i + k] = f"{len(lead.encode())}:{len(lead.encode()) + len(p.encode())}"
+    out = {r.doc_id: r for r in C.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert {k: r.spans for k, r in out.items()} == want
+    assert all(r.n_words >= 50 for r in out.values())
+
+
+def test_windows_equal_brute_force():
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ab \t") for _ in range(n)) for n in (0, 40, 3, 0, 200, 1, 500)]
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
+    for least in (1, 2, 3, 5, 8, 13):
+        starts, ends, text, place, key = C.windows(data, offsets, least)
+        whole = "".join(texts)
+        assert [whole[a:b] for a, b in zip(starts, ends)] == [w for t in texts for w in t.split()]
+        assert len(place) == sum(max(0, len(t.split()) - least + 1) for t in texts)
+        seen = {}
+        for i, k in zip(place, key.tolist()):
+            assert seen.setdefault(whole[starts[i] : ends[i + least - 1]], k) == k
+        assert len(set(seen.values())) == len(seen)

@@ -1,9 +1,9 @@
-"""Substring deduplication by content-defined chunks.
+"""Substring deduplication by windows of words.
 
-A gear hash of the last 16 bytes cuts a text into variable chunks, so that an insertion moves cuts only where it
-stands. Chunks carry digests; a passage repeats where the digests of several chunks in a row are found in more
-than one document. Each batch of documents asks about each of its digests once, whatever number of its documents
-hold it, and is told which of them repeat.
+Every run of as many words as a passage has at least gets a digest from a rolling hash, so that a passage repeats
+where a window's digest is found in more than one document, and its ends are exact to the word. Each batch of
+documents asks about each of its digests once, whatever number of its documents hold it, and is told which of them
+repeat. The gear hash that cuts a text into content-defined chunks is kept as a tool; no query uses it.
 """
 
 from __future__ import annotations
@@ -22,10 +22,12 @@ from .common import only, stage
 
 CUT_BITS = 4  # a cut at one byte of 16
 LEAST = 8  # a cut closer than this behind another is none
-ROW = 4  # chunks whose digests together make one key
 BUCKET_KEYS = 2_000_000
 _GEAR = np.frombuffer(b"".join(hashlib.blake2b(bytes([b]), digest_size=2).digest() for b in range(256)), "<u2")
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_MIX, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_BYTE = np.frombuffer(b"".join(hashlib.blake2b(bytes([b]), digest_size=8, person=b"window").digest() for b in range(256)), "<u8")
+_BASE, _INVERSE = np.uint64(0xF1357AEA2E62A9C5), np.uint64(pow(0xF1357AEA2E62A9C5, -1, 1 << 64))
+_POWERS = [np.ones(0, np.uint64), np.ones(0, np.uint64)]
 
 
 def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -67,48 +69,84 @@ def chunked(values: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return digests, ends - starts, total[ends] - total[starts], count
 
 
-def row_keys(digests: np.ndarray, count: np.ndarray, row: int = ROW) -> tuple[np.ndarray, np.ndarray]:
-    """For each place where `row` chunks of one text stand in a row: their joint digest, and the place."""
-    n = len(digests)
-    if n < row:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    text = np.repeat(np.arange(len(count)), count)
-    place = np.flatnonzero(text[: n - row + 1] == text[row - 1 :])
-    key = np.zeros(len(place), np.uint64)
-    for k in range(row):
-        key = (key ^ digests[place + k]) * _MIX
-        key ^= key >> np.uint64(29)
-    return key, place
+def _joint(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of each a followed by its b; which is first matters."""
+    h = (a ^ (a >> np.uint64(31))) * _ODD + b
+    h = (h ^ (h >> np.uint64(29))) * _MIX
+    return h ^ (h >> np.uint64(32))
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_POWERS[0]) < n:
+        _POWERS[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, x, np.uint64)])) for x in (_BASE, _INVERSE)]
+    return _POWERS[0], _POWERS[1]
+
+
+def windows(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all words of texts that stand one after the other in data: starts, ends and text; and of every `least` words of
+    one text in a row, with the white space between them: the place of the first and their digest.
+    """
+    blank = np.concatenate([[True], (data == 32) | ((data >= 9) & (data <= 13)), [True]])
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    starts = np.flatnonzero(~blank[1:-1] & (blank[:-2] | edge[:-1]))
+    ends = np.flatnonzero(~blank[1:-1] & (blank[2:] | edge[1:])) + 1
+    text = np.searchsorted(offsets, starts, side="right") - 1
+    if len(starts) < least:
+        return starts, ends, text, np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    up, down = _powers(len(data) + 1)
+    total = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[data] * up[: len(data)], dtype=np.uint64)])
+    bare = _joint((total[ends] - total[starts]) * down[starts], (ends - starts).astype(np.uint64))
+    after = np.append(starts[1:], len(data))
+    unit = _joint(bare, _joint((total[after] - total[ends]) * down[ends], (after - ends).astype(np.uint64)))
+    run, have, size, rest = None, 0, 1, least - 1  # the first words with what follows them, by doubling
+    while rest:
+        if rest & 1:
+            n = len(unit) - have
+            run = unit if run is None else _joint(run[:n], unit[have:])
+            have += size
+        rest >>= 1
+        if rest:
+            unit = _joint(unit[:-size], unit[size:])
+            size *= 2
+    n = len(starts) - least + 1
+    key = bare if run is None else _joint(run[:n], bare[least - 1 :])
+    place = np.flatnonzero(text[:n] == text[least - 1 :])
+    return starts, ends, text, place, key[place]
 
 
 # --- the exchange -------------------------------------------------------------------------------------------
 
-STAGED = "grp string, ids array<long>, count binary, digests binary, sizes binary, words binary"
+STAGED = "grp string, ids array<long>, data binary, offsets binary, windows long"
 
 
-def _chunk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    task, serial = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        for part in arrowtext.slices(batch, limit=4_000_000):
-            digests, sizes, words, count = chunked(arrowtext.texts(part))
-            columns = [x.tobytes() for x in (count.astype("<u4"), digests, sizes.astype("<u4"), words.astype("<u4"))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([f"{task}-{serial}"]), pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), *[pa.array([c], pa.binary()) for c in columns]],
-                ["grp", "ids", "count", "digests", "sizes", "words"],
-            )
-            serial += 1
+def _text_batches():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, serial = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for part in arrowtext.slices(batch, limit=4_000_000):
+                values = arrowtext.texts(part)
+                offsets = np.frombuffer(values.buffers()[1], dtype=np.int64)[values.offset : values.offset + len(values) + 1]
+                data = values.buffers()[2].to_pybytes()[offsets[0] : offsets[-1]] if values.buffers()[2] is not None else b""
+                most = data.count(b" ") + sum(data.count(bytes([b])) for b in range(9, 14)) + len(values)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([f"{task}-{serial}"]), pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([data], pa.binary()), pa.array([(offsets - offsets[0]).astype("<i8").tobytes()], pa.binary()), pa.array([most], pa.int64())],
+                    ["grp", "ids", "data", "offsets", "windows"],
+                )
+                serial += 1
+
+    return run
 
 
-def _ask_batches(buckets: int):
+def _ask_batches(buckets: int, least: int):
     """Each group's distinct keys by bucket, with a bit for those that two of its own documents hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                count = np.frombuffer(row["count"], "<u4").astype(np.int64)
-                key, place = row_keys(np.frombuffer(row["digests"], "<u8"), count)
-                text = np.repeat(np.arange(len(count)), count)[place]
-                order = np.lexsort((text, key))
+                _, _, text, place, key = windows(np.frombuffer(row["data"], np.uint8), np.frombuffer(row["offsets"], "<i8"), least)
+                text = text[place]
+                order = np.argsort(key, kind="stable")  # texts stay in order
                 key, text = key[order], text[order]
                 head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
                 last = np.append(head[1:], len(key)) - 1
@@ -157,56 +195,51 @@ def _answer_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _span_batches(least: int):
-    """Of each document, the runs of chunks in repeated rows that begin `least` words and more."""
+    """Of each document, the runs of words in repeated windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                count = np.frombuffer(row["count"], "<u4").astype(np.int64)
-                sizes, words = (np.frombuffer(row[k], "<u4").astype(np.int64) for k in ("sizes", "words"))
-                key, place = row_keys(np.frombuffer(row["digests"], "<u8"), count)
+                offsets = np.frombuffer(row["offsets"], "<i8")
+                starts, ends, text, place, key = windows(np.frombuffer(row["data"], np.uint8), offsets, least)
                 found = np.sort(np.concatenate([np.frombuffer(f, "<u8") for f in row["found"]]))
                 at = np.minimum(np.searchsorted(found, key), len(found) - 1)
-                covered = np.zeros(len(sizes) + 1, np.int64)
                 hit = place[found[at] == key]
+                covered = np.zeros(len(starts) + 1, np.int64)
                 np.add.at(covered, hit, 1)
-                np.add.at(covered, hit + ROW, -1)
+                np.add.at(covered, hit + least, -1)
                 covered = np.cumsum(covered)[:-1] > 0
-                text = np.repeat(np.arange(len(count)), count)
-                first = np.concatenate([[0], np.cumsum(count)])
-                byte = np.concatenate([[0], np.cumsum(sizes)])
-                word = np.concatenate([[0], np.cumsum(words)])
-                head = np.flatnonzero(covered & np.concatenate([[True], ~covered[:-1] | (text[1:] != text[:-1])])) if len(covered) else []
-                tail = np.flatnonzero(covered & np.concatenate([~covered[1:] | (text[1:] != text[:-1]), [True]])) + 1 if len(covered) else []
+                other = text[1:] != text[:-1]
+                head = np.flatnonzero(covered & np.concatenate([[True], ~covered[:-1] | other]))
+                tail = np.flatnonzero(covered & np.concatenate([~covered[1:] | other, [True]]))
                 out: dict[int, list[tuple[int, int, int]]] = {}
                 for a, b in zip(head, tail):
-                    if word[b] - word[a] >= least:
-                        base = byte[first[text[a]]]
-                        out.setdefault(int(text[a]), []).append((int(byte[a] - base), int(byte[b] - base), int(word[b] - word[a])))
+                    base = offsets[text[a]]
+                    out.setdefault(int(text[a]), []).append((int(starts[a] - base), int(ends[b] - base), int(b - a + 1)))
                 rows = [(row["ids"][t], len(s), sum(w for *_, w in s), sum(b - a for a, b, _ in s), ",".join(f"{a}:{b}" for a, b, _ in s)) for t, s in sorted(out.items())]
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.string() if c == 4 else pa.int64()) for c in range(5)], ["doc_id", "n_spans", "n_words", "n_bytes", "spans"])
 
     return run
 
 
-def repeated_passages(docs: DataFrame, least_words: int = 30) -> DataFrame:
+def repeated_passages(docs: DataFrame, least_words: int = 50) -> DataFrame:
     """Documents with passages that other documents hold too: doc_id, n_spans, n_words, n_bytes, spans (start:end in bytes).
 
-    A passage is seen from the first cut inside it to the last, some eight words less than it has on average at
-    16 bytes a chunk; `least_words` counts the words seen, so that 30 stands for passages of 50. Every document
-    that holds a passage is listed, the first too; documents without one are not. What repeats within one document
-    alone is no repetition. Null and empty texts have no passages; repeated rows repeat each other if they are long
-    enough; a null doc_id is listed as null; other columns are ignored.
+    A passage is `least_words` whole words and more in a row, with the same white space between them, from the start of
+    its first word to the end of its last; every such passage is found, whatever its bytes. Passages that touch or
+    overlap in a document are one span. Every document that holds a passage is listed, the first too; documents without
+    one are not. What repeats within one document alone is no repetition. Null and empty texts have no passages;
+    repeated rows repeat each other if they are long enough; a null doc_id is listed as null; other columns are ignored.
 
-    Digests have 64 bits and a span needs several in a row, so chance collisions make no span. Memory: a group of
-    documents of 4 MB, or a bucket of about BUCKET_KEYS keys, at a time; a digest of a third of all documents is
-    one key of each group.
+    Digests have 64 bits: that two of 10^9 unlike windows agree has a chance of about 3 %. Memory: a group of documents
+    of 4 MB, or a bucket of about BUCKET_KEYS keys, at a time; a digest of a third of all documents is one key of each
+    group.
     """
     spark = docs.sparkSession
-    staged = stage(only(docs, doc_id="long", text="string").mapInArrow(_chunk_batches, STAGED), "chunks")
-    keys = staged.agg(F.sum(F.length("digests"))).collect()[0][0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), keys // 8 // BUCKET_KEYS + 1)
-    asked = staged.select("grp", "count", "digests").mapInArrow(_ask_batches(buckets), "bucket int, grp string, keys binary, several binary")
+    staged = stage(only(docs, doc_id="long", text="string").mapInArrow(_text_batches(), STAGED), "texts")
+    keys = staged.agg(F.sum("windows")).collect()[0][0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), keys // BUCKET_KEYS + 1)
+    asked = staged.select("data", "offsets", "grp").mapInArrow(_ask_batches(buckets, least_words), "bucket int, grp string, keys binary, several binary")
     found = asked.repartitionById(buckets, F.col("bucket")).mapInArrow(_answer_batches, "grp string, found binary")
     answers = found.groupBy("grp").agg(F.collect_list("found").alias("found"))
-    return staged.join(answers, "grp").select("ids", "count", "digests", "sizes", "words", "found").mapInArrow(_span_batches(least_words), "doc_id long, n_spans long, n_words long, n_bytes long, spans string")
+    return staged.join(answers, "grp").select("ids", "data", "offsets", "found").mapInArrow(_span_batches(least_words), "doc_id long, n_spans long, n_words long, n_bytes long, spans string")

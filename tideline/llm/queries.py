@@ -56,7 +56,7 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(table(spark, sf_dir, "documents"), least_words=30)
+    return repeated_passages(table(spark, sf_dir, "documents"), least_words=50)
 
 
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
