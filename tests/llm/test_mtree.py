@@ -56,3 +56,19 @@ def test_unusable_vectors_repeats_and_both_ways_to_meet(spark, monkeypatch):
         monkeypatch.setattr(mtree, "BROADCAST_BYTES", limit)
         assert sorted(map(tuple, mtree.top_k(vectors, vectors.where("vec_id % 100 = 0")).collect())) == sorted(want)
     assert mtree.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
+
+
+def test_large_components_count_exactly_and_overflow_is_told(spark):
+    rng = np.random.default_rng(5)
+    data = [(i, [float(x) for x in rng.normal(size=3)]) for i in range(300)] + [(400, [20000.0, -3e4, 16384.0]), (500, [1.0, 2e5, -1e12]), (501, [-3e5, 4e4, 7.5]), (502, [1e6, 1e6 + 0.5, 1.0])]
+    vectors = mtree.quantized(spark.createDataFrame(data, "vec_id long, embedding array<double>"))
+    plain = [(i, [math.floor(1024 * x) for x in v]) for i, v in data]
+    got = {}
+    for row in mtree.top_k(vectors, vectors.where("vec_id % 100 = 0")).orderBy("rank").collect():
+        got.setdefault(row.query_id, []).append((row.score, row.vec_id))
+    assert got == {i: brute([a for a, _ in plain], [b for _, b in plain], v, 10, i) for i, v in plain if i % 100 == 0}
+    twice = mtree.quantized(spark.createDataFrame([(0, [4e9]), (1, [4e9])], "vec_id long, embedding array<double>"))
+    with pytest.raises(Exception, match="does not fit a long"):
+        mtree.top_k(twice, twice).collect()
+    data = np.array([[1 << 62, 1], [1 << 62, 2], [-(1 << 62), 5], [3, 1 << 40]])
+    assert mtree.MTree(np.arange(4), data).search(data[0], 3, 9) == brute(range(4), data, data[0], 3, 9)

@@ -23,7 +23,7 @@ PAGE = 64  # entries of a node
 SHARD_ROWS = 8192
 BLOCK_ROWS = 1024
 BROADCAST_BYTES = 32 << 20
-LARGEST = 1 << 24
+LARGEST = 1 << 63
 
 
 @dataclass
@@ -39,7 +39,8 @@ class MTree:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, page: int = PAGE):
         self.ids, self.page = ids, page
-        self.exact = vectors.shape[1] * float(np.abs(vectors).max(initial=0)) ** 2 < 2**53  # float products are whole numbers then
+        self.largest = float(np.abs(vectors).max(initial=0))
+        self.exact = vectors.shape[1] * self.largest**2 < 2**53  # float products are whole numbers then
         self.data = vectors.astype(np.float64) if self.exact else vectors.astype(np.int64)
         norms = np.einsum("ij,ij->i", self.data.astype(np.float64), self.data.astype(np.float64))
         self.top = float(norms.max(initial=0.0))
@@ -78,31 +79,33 @@ class MTree:
             return []
         q = query.astype(np.float64)
         constant = float(q @ q) + self.top
-        wide = self.exact and len(q) * float(np.abs(q).max(initial=0)) * float(np.abs(self.data).max(initial=0)) < 2**53
-        factor = q if wide else query.astype(np.int64)
-        data = self.data if wide else self.data.astype(np.int64)
+        slack = max(self.slack, 1e-6 * (np.sqrt(constant) + 1))  # a long query's distances are less exact
+        bound = len(q) * float(np.abs(q).max(initial=0)) * self.largest
+        kind = np.float64 if self.exact and bound < 2**53 else np.int64 if bound < 2**62 else object  # Python's integers don't overflow
+        factor = q if kind is np.float64 else query.astype(np.int64).astype(kind)
         best: list[tuple[int, int]] = []  # (score, -id), the worst first
         limit = np.inf  # distance of the k-th best so far
         queue: list[tuple[float, int, Node, float]] = [(0.0, 0, self.root, -1.0)]
         serial = 1
         while queue:
             least, _, node, at_parent = heapq.heappop(queue)
-            if least > limit + self.slack:
+            if least > limit + slack:
                 break
             rows, to_parent, radius = node.rows, node.to_parent, node.radius
             if at_parent >= 0 and limit < np.inf:  # |d(q, parent) - d(entry, parent)| - radius bounds from below
-                bound = np.abs(at_parent - to_parent) - (radius if radius is not None else 0)
-                chosen = np.flatnonzero(bound <= limit + self.slack)
+                apart = np.abs(at_parent - to_parent) - (radius if radius is not None else 0)
+                chosen = np.flatnonzero(apart <= limit + slack)
             else:
                 chosen = np.arange(len(rows))
             if not len(chosen):
                 continue
             self.computed += len(chosen)
-            scores = data[rows[chosen]] @ factor
+            scores = self.data[rows[chosen]]
+            scores = (scores if kind is np.float64 else scores.astype(np.int64).astype(kind)) @ factor
             distance = np.sqrt(np.maximum(constant - 2 * scores.astype(np.float64), 0))
             if node.children is not None:
                 low = np.maximum(distance - radius[chosen], 0)
-                for i in np.flatnonzero(low <= limit + self.slack):
+                for i in np.flatnonzero(low <= limit + slack):
                     heapq.heappush(queue, (float(low[i]), serial, node.children[chosen[i]], float(distance[i])))
                     serial += 1
                 continue
@@ -136,7 +139,7 @@ def _pack(rows: int):
         def packed(dim: int) -> pa.RecordBatch:
             block = held.pop(dim)
             ids = np.array([i for i, _ in block], dtype="<i8").tobytes()
-            data = np.array([v for _, v in block], dtype="<i4").tobytes()
+            data = np.array([v for _, v in block], dtype="<i8").tobytes()
             return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([len(block)], pa.int32()), pa.array([ids], pa.binary()), pa.array([data], pa.binary())], ["dim", "n", "ids", "data"])
 
         for batch in batches:
@@ -152,7 +155,7 @@ def _pack(rows: int):
 
 def _unpack(dim: int, n: int, ids: bytes, data: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
     out = np.zeros((n, max(width, 1)), dtype=np.int64)
-    out[:, :dim] = np.frombuffer(data, dtype="<i4").reshape(n, dim)
+    out[:, :dim] = np.frombuffer(data, dtype="<i8").reshape(n, dim)
     return np.frombuffer(ids, dtype="<i8"), out
 
 
@@ -166,6 +169,8 @@ def _search(k: int):
                     key, tree = (row["ids"], row["data"], width), MTree(*_unpack(row["dim"], row["n"], row["ids"], row["data"], width))
                 q_ids, queries = _unpack(row["q_dim"], row["q_n"], row["q_ids"], row["q_data"], width)
                 found = [(int(q), s, i) for q, v in zip(q_ids, queries) for s, i in tree.search(v, k, int(q))]
+                if over := next((f for f in found if not -(1 << 63) <= f[1] < 1 << 63), None):
+                    raise OverflowError(f"the score {over[1]} of query {over[0]} and vector {over[2]} does not fit a long")
                 yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in (0, 1, 2)], ["query_id", "score", "vec_id"])
 
     return run
@@ -174,18 +179,18 @@ def _search(k: int):
 def quantized(vectors: DataFrame, scale: int = 1024) -> DataFrame:
     """vec_id and floor(scale * x) of every usable vector: not null, and without null or non-finite components.
 
-    Rows without vec_id take no part either, nor vectors with components of 2^24 and more after scaling, whose
-    products might not fit a long.
+    Rows without vec_id take no part either, nor vectors with components of 2^63 and more after scaling, which no long
+    holds. Scores that a long does not hold end the search with an error.
     """
     x = F.transform(F.col("embedding").cast("array<double>"), lambda c: F.floor(c * F.lit(float(scale))))
-    usable = F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < F.lit(LARGEST / scale)))
-    return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(usable, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), x.cast("array<int>").alias("vector"))
+    usable = F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < F.lit(float(LARGEST) / scale)))
+    return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(usable, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), x.cast("array<long>").alias("vector"))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: for each query the k rows of largest integer inner product, ties to the smaller id.
 
-    Both tables have vec_id and vector (array of int). A query's own rows, those with its id, are no candidates;
+    Both tables have vec_id and vector (array of long). A query's own rows, those with its id, are no candidates;
     of query rows with one id the least vector counts; repeated candidates each take a rank; vectors of unlike
     length meet as if padded with zeros. Vectors are packed where they are read into shards of bounded size, each
     with its own tree, and every query block visits every shard. Query blocks are broadcast only up to a size that
