@@ -70,3 +70,11 @@ def test_shards_give_the_same_pairs(spark, monkeypatch):
     assert want <= {(r.doc_id, r.item_id) for r in D.contaminated(df, bf).collect()}
     monkeypatch.setattr(D.item_shards, "__defaults__", (200,))
     assert want <= {(r.doc_id, r.item_id) for r in D.contaminated(df, bf).collect()}
+
+
+def test_items_and_documents_split_and_fold_alike(spark):
+    inner = [f"word{k}" for k in range(9)]
+    bench = [(i, f"{' '.join(inner[:5])} q{i}x{space}q{i}y {' '.join(inner[5:])}. İzmir ΟΔΟΣ{space}answer{i} done") for i, space in enumerate("\u00a0\u2009\u3000\x1f\x85")]
+    docs = [(i, f"before it {t} and after") for i, t in bench]
+    got = {(r.doc_id, r.item_id) for r in D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert got == brute(docs, bench, 0.5, 0.8, 5) and {(i, i) for i, _ in docs} <= got

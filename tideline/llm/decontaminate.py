@@ -41,6 +41,14 @@ def words_of(text: str) -> list[str]:
     return [w for w in map(normal, text.lower().split()) if w]
 
 
+def folded(values: pa.Array) -> pa.Array:
+    """Texts whose split at ASCII white space gives the words of words_of: plain ASCII by Arrow, the others by Python's own rules."""
+    odd = pc.match_substring_regex(values, r"[^\t-\r -~]")
+    if pc.any(odd).as_py():
+        values = pc.replace_with_mask(values, odd, pa.array([" ".join(t.lower().split()) for t in values.filter(odd).to_pylist()], values.type))
+    return pc.ascii_lower(values)
+
+
 def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     """An item's question and answer: its last sentence or line answers the rest; of a single one, its last quarter."""
     parts = [w for w in map(words_of, _SENTENCE.split(text)) if w]
@@ -159,7 +167,7 @@ def _query_batches(shared):
             for part in arrowtext.slices(batch):
                 rows = []
                 if index.ids:
-                    distinct, codes, offsets = arrowtext.words(pc.utf8_lower(arrowtext.texts(part)))
+                    distinct, codes, offsets = arrowtext.words(folded(arrowtext.texts(part)))
                     rows = list(_matches(index, size, part.column(0).to_pylist(), distinct.to_pylist(), codes, offsets))
                 yield pa.RecordBatch.from_arrays(
                     [*[pa.array([r[c] for r in rows], pa.int64()) for c in range(2)], *[pa.array([r[c] for r in rows], pa.float64()) for c in range(2, 5)], pa.array([r[5] for r in rows], pa.int64())],
