@@ -80,3 +80,21 @@ def test_redaction_keeps_rows_columns_and_the_rest_of_the_text(spark):
     out = {r.doc_id: r for r in S.redact_secrets(df).collect()}
     assert out[1].text == "a [SECRET] b" and out[1].n_chars == 12
     assert out[2].text is None and tuple(out[3]) == data[2]
+
+
+def test_a_marker_explains_its_own_token_and_neighbourhood_alone():
+    secret = "9fQ2xLm7Rt0ZpVb4KcYdWs8H"
+    for text in (f"sample_key={secret}", f"{secret}=sample", f"your_key={secret}=dummy"):
+        (span,) = S.secret_spans(text)
+        assert span[0] == "entropy_base64" and secret in text[span[1] : span[2]] and len(secret) + 1 >= span[2] - span[1]
+    blob = secret * 10 + "xxxx" + secret * 10
+    assert sum(b - a for _, a, b in S.secret_spans(blob)) == len(blob) - 4 - 2 * S.REACH
+    assert S.secret_spans(f"key=EXAMPLE{secret}") == []
+
+
+def test_long_identifiers_end():
+    import time
+
+    began = time.perf_counter()
+    assert S.secret_spans("z" * 5_000 + "1 " + "1-" * 2_000 + "z " + "zy-" * 2_000 + "1") == []
+    assert time.perf_counter() - began < 5

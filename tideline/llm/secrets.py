@@ -11,6 +11,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,10 +47,11 @@ CLASSES = (
 )
 ALLOWED = (
     re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),  # UUID
-    re.compile(r"(?:[a-z]+[-_/]?)+"),  # words, slugs and paths
-    re.compile(r"(?:[0-9]+[-_/]?)+"),  # dates, numbers of phones and cards
-    re.compile(r".*(?i:example|sample|placeholder|your[-_]|xxxx|dummy).*"),
+    re.compile(r"[a-z]+(?:[-_/][a-z]+)*[-_/]?"),  # words, slugs and paths
+    re.compile(r"[0-9]+(?:[-_/][0-9]+)*[-_/]?"),  # dates, numbers of phones and cards
 )
+MARKER = re.compile(r"example|sample|placeholder|your[-_]|xxxx|dummy", re.IGNORECASE)
+REACH = 64  # characters on either side of a marker, within its '='-separated token, that the marker explains
 KINDS = (*BASE_KINDS, *(c.kind for c in CLASSES))
 _ORDER = {kind: i for i, kind in enumerate(KINDS)}
 _PLOGP = [0.0, *(c * math.log2(c) for c in range(1, 4096))]
@@ -92,6 +94,18 @@ def window_runs(run: str, kind: CharClass) -> list[tuple[int, int]]:
     return found
 
 
+def unexplained(run: str) -> list[tuple[int, int]]:
+    """The parts of a candidate that no marker explains; the '=' beside an explained part is none of them."""
+    out, at = [], 0
+    for m in MARKER.finditer(run):
+        first, last = max(run.rfind("=", 0, m.start()), m.start() - REACH), run.find("=", m.end())
+        last = min(last + 1 if last >= 0 else len(run), m.end() + REACH)
+        if first > at:
+            out.append((at, first))
+        at = max(at, last)
+    return [*out, (at, len(run))]
+
+
 def entropy_spans(text: str) -> list[Span]:
     """Windows of high entropy in the candidate strings of a text that no allow-list entry explains."""
     out: list[Span] = []
@@ -99,10 +113,10 @@ def entropy_spans(text: str) -> list[Span]:
         run = m[0]
         if run.isalpha() or run.isdigit() or any(a.fullmatch(run) for a in ALLOWED):
             continue
-        for kind in CLASSES:
+        for (low, high), kind in product(unexplained(run), CLASSES):
             start = None
-            for i in range(len(run) + 1):
-                inside = i < len(run) and run[i] in kind.letters
+            for i in range(low, high + 1):
+                inside = i < high and run[i] in kind.letters
                 if inside and start is None:
                     start = i
                 elif not inside and start is not None:
