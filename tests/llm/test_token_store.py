@@ -111,3 +111,23 @@ def test_documents_equal_the_library(spark, library, sf_dir):
     got = S.token_store(docs, PATH).collect()
     assert sorted(tuple(r)[:4] for r in got) == expected(library, [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
     assert all(r.verified for r in got)
+
+
+@pytest.mark.parametrize("damage", ["doc_id != 2", "all", "renamed"])
+def test_lost_added_and_renamed_recipes_are_found(spark, tmp_path, damage):
+    df = spark.createDataFrame([(i, f"some text number {i}") for i in range(5)], "doc_id long, text string")
+    a, b = f"file://{tmp_path}/a", f"file://{tmp_path}/b"
+    S.write_store(df, PATH, 1, a)
+    for part in ("kind=0", "manifest"):
+        spark.read.parquet(f"{a}/{part}").write.parquet(f"{b}/{part}")
+    recipes = spark.read.parquet(f"{a}/kind=1")
+    if damage == "all":
+        recipes = recipes.unionByName(recipes.where("doc_id = 2"))
+    elif damage == "renamed":
+        recipes = recipes.selectExpr("part", "if(doc_id = 2, 3, doc_id) AS doc_id", "n", "key", "body")
+    else:
+        recipes = recipes.where(damage)
+    recipes.write.parquet(f"{b}/kind=1")
+    assert all(r.verified for r in S.read_store(spark, a).collect())
+    out = S.read_store(spark, b).collect()
+    assert out and not any(r.verified for r in out if r.doc_id in (1, 2, 3))

@@ -18,6 +18,8 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -222,17 +224,32 @@ def write_store(docs: DataFrame, tokenizer_path: str, end: int, path: str) -> No
 def _roots(key, pdf):
     import pandas as pd
 
-    pdf = pdf.sort_values(["doc_id", "key"], na_position="first")
+    pdf = pdf.sort_values(["doc_id", "name", "key"], na_position="first")
     ids = [None if pd.isna(x) else int(x) for x in (pdf["doc_id"].iloc[0], pdf["doc_id"].iloc[-1])]
-    return pd.DataFrame([[int(key[0]), *ids, len(pdf), int(pdf["n"].sum()), merkle_root([bytes(x) for x in pdf["key"]])]], columns=["part", "first_doc", "last_doc", "n_docs", "n_tokens", "root"])
+    return pd.DataFrame([[int(key[0]), *ids, len(pdf), int(pdf["n"].sum()), merkle_root([f"{name}|{n}|".encode() + bytes(key) for name, n, key in zip(pdf["name"], pdf["n"], pdf["key"])])]], columns=["part", "first_doc", "last_doc", "n_docs", "n_tokens", "root"])
 
 
-def _write_manifest(spark: SparkSession, path: str) -> None:
-    """One row a recipe part: its documents' Merkle root, and the ids before it."""
-    rows = _kind(spark, path, 1).select("part", "doc_id", "n", "key")
+def _manifest(spark: SparkSession, path: str) -> DataFrame:
+    """One row a recipe part, from its recipes: the Merkle root over doc_id, length and root of each, and the ids before the part."""
+    rows = _kind(spark, path, 1).select("part", "doc_id", "n", "key", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("name"))
     roots = rows.groupBy("part").applyInPandas(_roots, "part int, first_doc long, last_doc long, n_docs long, n_tokens long, root binary")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part, a few hundred in all
-    roots.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long")).write.parquet(f"{path}/manifest")
+    return roots.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long"))
+
+
+def _write_manifest(spark: SparkSession, path: str) -> None:
+    _manifest(spark, path).write.parquet(f"{path}/manifest")
+
+
+def _held(spark: SparkSession, path: str) -> DataFrame:
+    """part, part_start and held of every part: whether the manifest says what its recipes say. A part that is gone makes all false."""
+    told = spark.read.parquet(f"{path}/manifest")
+    made = _manifest(spark, path)
+    same = [F.col(f"told.{c}").eqNullSafe(F.col(f"made.{c}")) for c in made.columns]
+    both = told.alias("told").join(made.alias("made"), F.col("told.part") == F.col("made.part"), "full")
+    whole = F.min(F.col("made.part").isNotNull()).over(Window.partitionBy())  # one row a part
+    rows = both.select(F.col("made.part").alias("part"), F.coalesce("told.start", "made.start").alias("part_start"), (reduce(and_, same) & whole).alias("held"))
+    return rows.where(F.col("part").isNotNull())
 
 
 # --- reading ------------------------------------------------------------------------------------------------
@@ -318,14 +335,15 @@ def read_store(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
 
     A chunk's digest, length and crc come from its stored bytes; a document's crc is put together from its chunks'
     in recipe order. Recipes with the same root are worked out once, whatever the number of their documents.
-    `verified` is false where a recipe's root, length or part manifest doesn't follow from what was read.
+    `verified` is false where a recipe's root, length or part manifest doesn't follow from what was read; a wrong part
+    manifest makes it false for the whole part.
     """
     recipes = _kind(spark, path, 1)
     stored = _kind(spark, path, 0).select("body").mapInArrow(_checked(width), "digest binary, n int, crc long")
     wanted = recipes.select(F.col("key").alias("root"), "body").dropDuplicates(["root"]).mapInArrow(_references, "root binary, seq int, digest binary")
     found = wanted.join(stored, "digest").groupBy("root").agg(F.collect_list(F.struct("seq", "digest", "n", "crc")).alias("chunks"))
     made = found.mapInArrow(_joined_crcs, "root binary, ids long, ids_crc32 long, verified boolean")
-    manifest = spark.read.parquet(f"{path}/manifest").select("part", F.col("start").alias("part_start"))
+    manifest = _held(spark, path)
     before = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "key").rowsBetween(Window.unboundedPreceding, -1)
     placed = recipes.select("part", "doc_id", "n", "key", (F.length("body") / DIGEST).cast("long").alias("n_chunks")).withColumn("inner", F.coalesce(F.sum("n").over(before), F.lit(0)))
     return (
@@ -338,7 +356,7 @@ def read_store(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
             "ids_crc32",
             "n_chunks",
             F.lower(F.hex("key")).alias("root"),
-            F.coalesce(F.col("verified") & (F.col("ids") == F.col("n")), F.lit(False)).alias("verified"),
+            F.coalesce(F.col("verified") & (F.col("ids") == F.col("n")) & F.col("held"), F.lit(False)).alias("verified"),
         )
     )
 
