@@ -25,23 +25,30 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return told.where((F.col("__lang_pred") != UNKNOWN) & (F.col("__lang_score") >= LEAST_SCORE)).select(*docs.columns)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """With __key, a 64-bit digest of doc_id and text: rows of one doc_id and unlike texts are rows of their own."""
+    return docs.withColumn("__key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.col("text").isNull(), "text"))
+
+
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-dedup, five words and 0.8: of each group the document of least doc_id stays, of repeated rows one.
+    """MinHash near-dedup, five words and 0.8: of each group the row of least doc_id, then key, stays, of repeated rows one.
 
     Rows without doc_id belong to no group and stay.
     """
-    found = near_duplicates(docs, width=5, percent=80)
-    gone = found.where(~F.col("kept")).select("doc_id")
-    first = Window.partitionBy("doc_id").orderBy("text")
-    named = docs.where(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti")
-    one = named.withColumn("__row", F.row_number().over(first)).where(F.col("__row") == 1)
+    named = stage(keyed(docs.where(F.col("doc_id").isNotNull())), "keyed")
+    found = near_duplicates(named.select(F.col("__key").alias("doc_id"), "text"), width=5, percent=80)
+    place = named.select("__key", "doc_id").join(found.select(F.col("doc_id").alias("__key"), "component_id").distinct(), "__key")
+    stays = place.groupBy("component_id").agg(F.min(F.struct("doc_id", "__key"))["__key"].alias("__key"))
+    first = Window.partitionBy("__key").orderBy("doc_id")
+    one = named.join(stays.select("__key"), "__key", "left_semi").withColumn("__row", F.row_number().over(first)).where(F.col("__row") == 1)
     return one.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark decontamination: documents that hold a test item go."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Benchmark decontamination: rows that hold a test item go, with and without doc_id."""
+    rows = keyed(docs)
+    found = contaminated(rows.select(F.col("__key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return rows.join(found.select(F.col("doc_id").alias("__key")).distinct(), "__key", "left_anti").select(*docs.columns)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,3 +50,15 @@ def test_run_and_empty_documents(spark, sf_dir, tmp_path):
     rows = [(1, "the the the of and", "en", "s", 18), (1, "the the the of and", "en", "s", 18), (2, None, "en", "s", 0), (None, "the of and the token=abcdef12", None, "s", 29)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.mode("overwrite").parquet(f"file://{tmp_path}/documents.parquet")
     assert sorted((r.doc_id for r in P.run(spark, f"file://{tmp_path}").collect()), key=str) == [1, None]
+
+
+def test_rows_of_one_doc_id_are_judged_by_their_own_texts(spark, tmp_path):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    item = " ".join(f"q{i}" for i in range(20)) + ". the answer is here"
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in [(1, one), (7, one), (7, two), (7, two), (7, three), (8, None), (8, ""), (None, one)]], columns)
+    kept = [(r.doc_id, r.text) for r in P.deduplicated(spark, docs, "").collect()]
+    assert sorted(kept, key=str) == sorted([(1, one), (7, two), (7, three), (8, None), (8, ""), (None, one)], key=str)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in [(3, item), (3, two), (None, item), (None, three)]], columns)
+    assert sorted((r.text for r in P.decontaminated(spark, docs, f"file://{tmp_path}").collect())) == [two, three]
