@@ -20,7 +20,7 @@ def test_chunked_draws_reach_the_enumerated_shares_at_the_reference_size(spark):
 def test_levels_reject_what_twenty_draws_cannot(spark):
     rows = [("w", f"k{i:02d}", *n, full.DRAWS) for i, n in enumerate([(0, 900_000), (3, 900_000), (900_000, 0), (99_999, 900_000), (1_999_999, 1_999_999), (0, 0)])]
     counts = spark.createDataFrame(rows, "window_id string, active_wallet string, n_e long, n_sign long, draws long")
-    held = counts.select("window_id", "active_wallet", F.explode(F.sequence(F.lit(1), F.when(F.col("active_wallet") == "k05", 2).otherwise(3))), F.lit(1).alias("e"), F.lit(1).alias("sign"), F.lit(1).alias("exposure"))
+    held = counts.select("window_id", "active_wallet", F.explode(F.sequence(F.lit(1), F.when(F.col("active_wallet") == "k05", 2).otherwise(3))), F.lit(1).alias("e"), F.lit(1).alias("sign"), F.lit(1).alias("exposure"), F.lit(1).alias("slot_index"))
     out = {r.active_wallet: r for r in full.decide(held, counts).collect()}
     assert [out[f"k{i:02d}"].status for i in range(6)] == ["confirmed_repeat_active", "review_queue", "confirmed_repeat_active", "bh_review_screen", "top10_descriptive", "bh_review_screen"]
     assert [out[f"k{i:02d}"].leg_that_rejected for i in range(6)] == ["mag", "mag", "dir", "none", "none", "none"]

@@ -63,6 +63,52 @@ def seed_of(material: Column) -> Column:
     return F.conv(F.substring(F.sha2(material.cast("binary"), 256), 1, 16), 16, 10).cast("decimal(20,0)")
 
 
-def lcg(x: Column) -> Column:
-    """One step of a portable integer generator, the same on every engine."""
-    return F.pmod(x * F.lit(48271).cast("long"), F.lit(2147483647).cast("long"))
+
+def utc_text(seconds: Column) -> Column:
+    """Unix seconds as 'yyyy-MM-dd HH:mm:ss UTC', whatever the session's time zone; null stays null."""
+    days = F.date_from_unix_date(F.floor(seconds / 86400).cast("int"))
+    rest = F.pmod(seconds, F.lit(86400))
+    two = lambda x: F.lpad(F.floor(x).cast("string"), 2, "0")
+    clock = F.concat_ws(":", two(rest / 3600), two(F.pmod(rest, F.lit(3600)) / 60), two(F.pmod(rest, F.lit(60))))
+    return F.when(seconds.isNotNull(), F.concat(days.cast("string"), F.lit(" "), clock, F.lit(" UTC")))
+
+
+def utc_seconds(text: Column) -> Column:
+    """Unix seconds of an ISO text; blank and unreadable give null, a text without a zone is UTC."""
+    clean = F.trim(text)
+    zoned = clean.rlike("(Z|[+-][0-9]{2}:?[0-9]{2}|UTC)$")
+    full = F.when(zoned, F.regexp_replace(clean, " ?UTC$", "Z")).otherwise(F.concat(clean, F.lit("Z")))
+    return F.when(F.length(clean) > 0, F.unix_seconds(F.try_to_timestamp(full)))
+
+
+def slug(text: Column) -> Column:
+    """Lower-case letters and digits with single hyphens between their runs, for names of files."""
+    return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-|-$", "")
+
+
+def shortened(text: Column, head: int = 6, tail: int = 4) -> Column:
+    """The first and last letters of a long name."""
+    return F.when(F.length(text) <= head + tail + 1, text).otherwise(F.concat(F.substring(text, 1, head), F.lit("…"), F.right(text, F.lit(tail))))
+
+
+def hex_id(size: int, *address: Column | str) -> Column:
+    """'0x' and `size` bytes in hexadecimal, at most 32, drawn from an address."""
+    return F.concat(F.lit("0x"), F.substring(F.sha2(joined_key(*address).cast("binary"), 256), 1, 2 * size))
+
+
+def decimal_id(*address: Column | str) -> Column:
+    """A decimal number of up to 38 digits drawn from an address, as token names are written."""
+    return F.conv(F.substring(F.sha2(joined_key(*address).cast("binary"), 256), 1, 15), 16, 10)
+
+
+def log_factorial(n: Column) -> Column:
+    """ln n! from sums of logarithms below 16 and Stirling's series above, to 1e-12; no table and no join."""
+    x = n.cast("double")
+    small = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(n, F.lit(16)), F.lit(1)).cast("int")), F.lit(0.0), lambda acc, k: acc + F.log(k.cast("double")))
+    inv = F.lit(1.0) / x
+    series = inv / 12 - inv * inv * inv / 360 + F.pow(inv, F.lit(5)) / 1260 - F.pow(inv, F.lit(7)) / 1680
+    return F.when(n < 16, small).otherwise(x * F.log(x) - x + 0.5 * F.log(F.lit(6.283185307179586) * x) + series)
+
+
+def log_choose(n: Column, k: Column) -> Column:
+    return log_factorial(n) - log_factorial(k) - log_factorial(n - k)

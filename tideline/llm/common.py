@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -53,6 +54,14 @@ def only(df: DataFrame, **wanted: str) -> DataFrame:
     return df.select(*[F.col(name).cast(kind).alias(name) for name, kind in wanted.items()])
 
 
+def fresh(columns: Iterable[str], name: str) -> str:
+    """`name`, lengthened until none of the columns has it, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -27,8 +27,17 @@ def slots(windows: DataFrame, bucketed: DataFrame) -> DataFrame:
     """Trades of each window's buckets, onset to alarm, with slot_index in their order and the narrow window's flag."""
     w = windows.select(WINDOW, "condition_id", "onset_bucket", "onset_mle", "alarm_bucket", "direction", "winning_delta")
     joined = bucketed.join(w, (bucketed["condition_id"] == w["condition_id"]) & F.col("bucket_index").between(F.col("onset_bucket"), F.col("alarm_bucket"))).drop(w["condition_id"])
-    order = Window.partitionBy(WINDOW).orderBy("bucket_index", "timestamp", "transaction_hash")
-    return joined.withColumn("slot_index", F.row_number().over(order) - 1).withColumn("in_mle", F.col("bucket_index") >= F.col("onset_mle"))
+    return numbered_slots(joined).withColumn("in_mle", F.col("bucket_index") >= F.col("onset_mle"))
+
+
+def numbered_slots(rows: DataFrame) -> DataFrame:
+    """Adds slot_index, the place in the window by bucket, time and hash: the trades of earlier buckets and the place in the own."""
+    order = Window.partitionBy(WINDOW, "bucket_index").orderBy("timestamp", "transaction_hash")
+    before = Window.partitionBy(WINDOW).orderBy("bucket_index").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(WINDOW, "bucket_index").agg(F.count(F.lit(1)).alias("_n"))  # one row a bucket
+    starts = counts.select(WINDOW, "bucket_index", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    placed = rows.withColumn("_within", F.row_number().over(order) - 1).join(starts, [WINDOW, "bucket_index"])
+    return placed.withColumn("slot_index", F.col("_start") + F.col("_within")).drop("_within", "_start")
 
 
 def membership_digest(slotted: DataFrame) -> DataFrame:

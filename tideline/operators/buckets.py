@@ -41,9 +41,16 @@ def winsorized(bucketed: DataFrame, quantile: float = 0.95) -> DataFrame:
     return sums.select("condition_id", "bucket_index", clip(ratio(F.col("net"), F.col("gross")), -1, 1).alias("imbalance_winsor"))
 
 
-def features(bucketed: DataFrame) -> DataFrame:
-    """One row a bucket: bounds, counts, imbalance in shares, winsorized and in cash, largest share, concentration."""
-    plain = bucketed.groupBy("condition_id", "bucket_index").agg(
+def features(bucketed: DataFrame, quantile: float = 0.95) -> DataFrame:
+    """One row a bucket: bounds, counts, imbalance in shares, winsorized and in cash, largest share, concentration.
+
+    One pass: the bucket's cap by a window, sums by wallet, then sums over wallets, all in one partitioning.
+    """
+    by = Window.partitionBy("condition_id", "bucket_index")
+    cap = F.floor(F.percentile("shares", quantile).over(by) + 0.475).cast("long")
+    capped = bucketed.withColumn("capped", F.least(F.col("shares"), cap))
+    signed = lambda c: F.when(F.col("signed") >= 0, F.col(c)).otherwise(-F.col(c))
+    wallets = capped.groupBy("condition_id", "bucket_index", "active_wallet").agg(
         F.min("timestamp").alias("start_ts"),
         F.max("timestamp").alias("end_ts"),
         F.count(F.lit(1)).alias("n_trades"),
@@ -51,15 +58,27 @@ def features(bucketed: DataFrame) -> DataFrame:
         F.sum(F.abs("signed")).alias("abs_signed"),
         F.sum("signed").alias("net"),
         F.max(F.abs("signed")).alias("largest"),
-        F.sum(F.when(F.col("signed") >= 0, F.col("cash")).otherwise(-F.col("cash"))).alias("net_cash"),
+        F.sum(signed("cash")).alias("net_cash"),
+        F.sum(signed("capped")).alias("net_capped"),
+        F.sum("capped").alias("capped"),
+        F.floor(F.sum("shares") / 1000).cast("long").alias("w"),
     )
-    plain = plain.select(
+    sums = [F.sum(c).alias(c) for c in ("n_trades", "gross_cash", "abs_signed", "net", "net_cash", "net_capped", "capped", "w")]
+    plain = wallets.groupBy("condition_id", "bucket_index").agg(F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"), F.max("largest").alias("largest"), F.sum(F.col("w") * F.col("w")).alias("squares"), *sums)
+    return plain.select(
         "condition_id", "bucket_index", "start_ts", "end_ts", (F.col("end_ts") - F.col("start_ts")).alias("bucket_duration"), "n_trades", "gross_cash", "abs_signed",
         clip(ratio(F.col("net"), F.col("abs_signed")), -1, 1).alias("imbalance"),
         clip(ratio(F.col("net_cash"), F.col("gross_cash")), -1, 1).alias("imbalance_cash"),
         ratio(F.col("largest"), F.col("abs_signed")).alias("max_trade_share"),
+        clip(ratio(F.col("net_capped"), F.col("capped")), -1, 1).alias("imbalance_winsor"),
+        ratio(F.col("squares"), F.col("w").cast("double") * F.col("w").cast("double")).alias("wallet_hhi"),
     )
-    return plain.join(winsorized(bucketed), ["condition_id", "bucket_index"]).join(wallet_hhi(bucketed), ["condition_id", "bucket_index"])
+
+
+def imbalance_rows(bucketed: DataFrame) -> DataFrame:
+    """The imbalance channel alone, as channel_rows has it."""
+    sums = bucketed.groupBy("condition_id", "bucket_index").agg(F.sum("signed").alias("net"), F.sum(F.abs("signed")).alias("gross"))
+    return sums.select("condition_id", "bucket_index", F.lit("imbalance").alias("channel"), micro(clip(ratio(F.col("net"), F.col("gross")), -1, 1)).alias("x"))
 
 
 def channel_rows(featured: DataFrame) -> DataFrame:

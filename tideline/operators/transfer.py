@@ -34,20 +34,30 @@ def without_tested(spans: DataFrame, tested: DataFrame) -> DataFrame:
     return spans.join(tested.select("condition_id", "first_bucket", "last_bucket"), ["condition_id", "first_bucket", "last_bucket"], "left_anti")
 
 
+def free_gaps(blocked: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(condition_id, gap_lo, gap_hi): the buckets of a contract between its merged blocked spans, before and after them."""
+    order = Window.partitionBy("condition_id").orderBy("first_bucket", "last_bucket")
+    reach = F.max("last_bucket").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    before = blocked.withColumn("gap_lo", F.coalesce(reach + 1, F.lit(0).cast("long"))).select("condition_id", "gap_lo", (F.col("first_bucket") - 1).alias("gap_hi"))
+    last = sizes.join(blocked.groupBy("condition_id").agg(F.max("last_bucket").alias("reach")), "condition_id", "left")
+    after = last.select("condition_id", F.coalesce(F.col("reach") + 1, F.lit(0).cast("long")).alias("gap_lo"), (F.col("n_buckets") - 1).alias("gap_hi"))
+    return before.unionByName(after).where("gap_lo <= gap_hi")
+
+
 def placebo_spans(spans: DataFrame, blocked: DataFrame, sizes: DataFrame) -> DataFrame:
     """For each span the nearest span of its length on the same contract that meets neither itself nor a blocked one.
 
-    Candidates step outward a bucket at a time on both sides; the earlier side wins a tie.
+    In each free gap the nearest place on either side of the span is known at once; the earlier side wins a tie.
     """
     length = F.col("last_bucket") - F.col("first_bucket") + 1
-    asked = spans.join(sizes, "condition_id").withColumn("length", length)
-    stepped = asked.withColumn("gap", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_buckets") - 1)))
-    sides = stepped.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
-    start = F.when(F.col("side") == 0, F.col("first_bucket") - F.col("gap") - F.col("length")).otherwise(F.col("last_bucket") + F.col("gap") + 1)
-    candidates = sides.withColumn("lo", start).withColumn("hi", F.col("lo") + F.col("length") - 1).where((F.col("lo") >= 0) & (F.col("hi") < F.col("n_buckets")))
-    b = blocked.select(F.col("condition_id").alias("b_id"), F.col("first_bucket").alias("b_lo"), F.col("last_bucket").alias("b_hi"))
-    free = candidates.join(b, (F.col("condition_id") == F.col("b_id")) & (F.col("lo") <= F.col("b_hi")) & (F.col("hi") >= F.col("b_lo")), "left_anti")
-    return free.groupBy("window_id", "condition_id", "first_bucket", "last_bucket").agg(F.min(F.struct("gap", "side", "lo", "hi")).alias("m")).select("window_id", "condition_id", F.col("first_bucket").alias("source_first"), F.col("last_bucket").alias("source_last"), F.col("m.lo").alias("first_bucket"), F.col("m.hi").alias("last_bucket"))
+    met = spans.withColumn("length", length).join(free_gaps(blocked, sizes), "condition_id")
+    hi = F.least(F.col("gap_hi"), F.col("first_bucket") - 1)
+    lo = F.greatest(F.col("gap_lo"), F.col("last_bucket") + 1)
+    earlier = F.struct((F.col("first_bucket") - 1 - hi).alias("gap"), F.lit(0).alias("side"), (hi - F.col("length") + 1).alias("lo"), hi.alias("hi"))
+    later = F.struct((lo - F.col("last_bucket") - 1).alias("gap"), F.lit(1).alias("side"), lo.alias("lo"), (lo + F.col("length") - 1).alias("hi"))
+    fits = met.withColumn("c", F.explode(F.array(earlier, later))).where((F.col("c.lo") >= F.col("gap_lo")) & (F.col("c.hi") <= F.col("gap_hi")) & (F.col("c.gap") >= 0))
+    best = fits.groupBy("window_id", "condition_id", "first_bucket", "last_bucket").agg(F.min("c").alias("m"))
+    return best.select("window_id", "condition_id", F.col("first_bucket").alias("source_first"), F.col("last_bucket").alias("source_last"), F.col("m.lo").alias("first_bucket"), F.col("m.hi").alias("last_bucket"))
 
 
 def exposures(spans: DataFrame, bucketed: DataFrame) -> DataFrame:

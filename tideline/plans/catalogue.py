@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import attribution, detection, full, inference, studies
+from . import attribution, detection, evaluation, full, inference, studies
 
-MODULES = (detection, attribution, inference, studies)
+MODULES = (detection, attribution, inference, studies, evaluation)
 QUERIES = {name: f for m in (*MODULES, full) for name, f in m.QUERIES.items()}
 ORACLE = {name: text for m in MODULES for name, text in m.ORACLE.items()}

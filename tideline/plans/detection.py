@@ -2,39 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.expr import micro
+from ..functions.shared import fingerprint, shared_dir
 from ..operators import baseline, buckets, ledger, walk
 from ..sources import trades as source
 from .sql import grid, query
 
 SIZE, HEAD = 20, 20
-_SHARED: dict[tuple[str, str, str], DataFrame] = {}
+_SHARED: dict[tuple[str, ...], DataFrame] = {}
 
 
 CONFIG = walk.WalkConfig(start=HEAD)
 
 
-def _folder(spark: SparkSession) -> str:
-    """The folder all executors share, or one of our own where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tideline-plans-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 def shared(f):
-    """Write a bucket- or window-level table, small beside its trades, once a session for the queries that build on it."""
+    """Write a table that several queries build on once for every state of the input files, in the shared folder."""
 
     def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-        key = (spark.sparkContext.applicationId, sf_dir, f"{f.__module__}.{f.__name__}")
+        key = (spark.sparkContext.applicationId, sf_dir, fingerprint(spark, sf_dir), f"{f.__module__}.{f.__name__}")
         if key not in _SHARED:
-            path = f"{_folder(spark)}/{f.__name__}-{uuid.uuid4().hex[:12]}"
+            path = f"{shared_dir(spark)}/{f.__name__}-{uuid.uuid4().hex[:12]}"
             f(spark, sf_dir).write.parquet(path)
             _SHARED[key] = spark.read.parquet(path)
         return _SHARED[key]
@@ -43,6 +34,11 @@ def shared(f):
     return kept
 
 
+def forget() -> None:
+    """Let the next query build its tables anew, as a fresh session would."""
+    _SHARED.clear()
+
+
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source.event_trades(source.read(spark, sf_dir, "events"))
 

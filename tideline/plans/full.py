@@ -16,28 +16,16 @@ from . import inference as i
 DRAWS = 1_999_999
 CHUNKS = 64
 SEED = 2026
-ALPHA_LEG = 0.025
+ALPHA_LEG, ALPHA = 0.025, 0.05
 BH_Q = 0.10
 T_STAR = 5e-7  # the reference's calibrated threshold of the magnitude leg, the least p these draws can give
 REPLICATES = 500
 
 
 def decide(slots, counts):
-    """Every wallet's p-values, Holm at ALPHA_LEG on each leg of wallets with three trades, BH_Q on both legs over all, status."""
-    told = counts.select("window_id", "active_wallet", F.col("n_e").alias("n_mag"), F.col("n_sign").alias("n_dir"), "draws")
-    n = slots.groupBy("window_id", "active_wallet").agg(F.count(F.lit(1)).alias("n_slots"), F.sum("e").alias("e"), F.sum("sign").alias("sign"), F.sum("exposure").alias("exposure"))
-    rows = permute.p_values(told).join(n, ["window_id", "active_wallet"]).withColumn("eligible", F.col("n_slots") >= 3)
-    for leg, score in (("mag", "e"), ("dir", "sign")):
-        rows = rows.withColumn(f"c_{leg}", F.when(F.col("eligible"), F.col(f"p_{leg}")))
-        rows = multiple.holm(rows, f"c_{leg}", "window_id", "active_wallet", ALPHA_LEG, f"holm_{leg}")
-        rows = multiple.benjamini_hochberg(rows, f"p_{leg}", "window_id", "active_wallet", BH_Q, f"screen_{leg}")
-        top = multiple.top_with_ties(rows, score, "window_id", 10).select("window_id", "active_wallet", F.lit(True).alias(f"top_{leg}"))
-        rows = rows.join(top, ["window_id", "active_wallet"], "left")
-    mag, direction = F.coalesce("holm_mag_reject", F.lit(False)), F.coalesce("holm_dir_reject", F.lit(False))
-    rows = rows.withColumn("headline_reject", mag | direction).withColumn("screen_reject", F.col("screen_mag_reject") | F.col("screen_dir_reject"))
-    rows = rows.withColumn("leg_that_rejected", F.when(mag & direction, "both").when(mag, "mag").when(direction, "dir").otherwise("none"))
-    rows = rows.withColumn("top10", F.coalesce(F.col("top_mag"), F.col("top_dir"), F.lit(False)) & (F.col("exposure") > 0))
-    return multiple.calibrated_status(permute.distances(rows), T_STAR)
+    """Every wallet's p-values and decisions at the reference's levels, and how far each p is from its threshold."""
+    told = counts.withColumnsRenamed({"n_e": "n_mag", "n_sign": "n_dir"})
+    return permute.distances(multiple.decide(slots, permute.p_values(told), ALPHA_LEG, ALPHA, BH_Q, T_STAR))
 
 
 @d.shared
@@ -107,6 +95,7 @@ def full_alpha_curve(spark, sf_dir):
 QUERIES = {
     "full_p_values": _columns("n_mag", "n_dir", "draws", "p_mag", "p_dir"),
     "full_mc_sigma": _columns("sigma_mag", "sigma_dir", "review"),
+    "full_sensitivity": _columns("p_dnc", "holm_dnc_p", "holm_dnc_reject", "p_dfa", "holm_dfa_p", "holm_dfa_reject"),
     "full_holm": _columns("eligible", "holm_mag_p", "holm_mag_threshold", "holm_mag_reject", "holm_dir_p", "holm_dir_threshold", "holm_dir_reject"),
     "full_bh": _columns("screen_mag_q", "screen_mag_reject", "screen_dir_q", "screen_dir_reject"),
     "full_headline_union": _columns("headline_reject", "leg_that_rejected"),

@@ -23,20 +23,13 @@ def tested(spark, sf_dir):
     return permute.p_values(permute.permuted_counts(labelled(spark, sf_dir), DRAWS))
 
 
+LEVELS = {"alpha_leg": 0.2, "alpha": 0.4, "bh_q": 0.25, "t_star": 0.06}  # what 20 draws can reach; `full` has the reference's
+
+
 @d.shared
 def decided(spark, sf_dir):
     """Holm at half alpha on the two headline legs of wallets with three trades and more, the screen over all."""
-    n = labelled(spark, sf_dir).groupBy("window_id", "active_wallet").agg(F.count(F.lit(1)).alias("n_slots"), F.sum("e").alias("e"))
-    rows = tested(spark, sf_dir).join(n, ["window_id", "active_wallet"]).withColumn("eligible", F.col("n_slots") >= 3)
-    for leg in ("mag", "dir"):
-        rows = rows.withColumn(f"c_{leg}", F.when(F.col("eligible"), F.col(f"p_{leg}")))
-        rows = multiple.holm(rows, f"c_{leg}", "window_id", "active_wallet", 0.2, f"holm_{leg}")
-    rows = multiple.benjamini_hochberg(rows, "p_mag", "window_id", "active_wallet", 0.25, "screen")
-    rows = rows.withColumn("headline_reject", F.col("holm_mag_reject") | F.col("holm_dir_reject"))
-    leg = F.when(F.col("holm_mag_reject") & F.col("holm_dir_reject"), "both").when(F.col("holm_mag_reject"), "mag").when(F.col("holm_dir_reject"), "dir")
-    top = multiple.top_with_ties(rows, "e", "window_id", 10).select("window_id", "active_wallet", F.lit(True).alias("top10"))
-    rows = rows.withColumn("leg_that_rejected", leg).join(top, ["window_id", "active_wallet"], "left").withColumn("top10", F.coalesce("top10", F.lit(False)))
-    return multiple.status(rows, 0.06)
+    return multiple.decide(labelled(spark, sf_dir), tested(spark, sf_dir), **LEVELS)
 
 
 def cells(spark, sf_dir):
@@ -106,7 +99,7 @@ def holm(spark, sf_dir):
 
 
 def bh(spark, sf_dir):
-    return decided(spark, sf_dir).select("window_id", "active_wallet", micro(F.col("screen_q")).alias("screen_q"), "screen_reject")
+    return decided(spark, sf_dir).select("window_id", "active_wallet", *[micro(F.col(f"screen_{leg}_q")).alias(f"screen_{leg}_q") for leg in multiple.HEADLINE], "screen_reject")
 
 
 def headline_union(spark, sf_dir):
@@ -122,7 +115,7 @@ def status_ladder(spark, sf_dir):
 
 
 def two_layer(spark, sf_dir):
-    layer = F.when(F.coalesce("headline_reject", F.lit(False)), F.concat(F.lit("validated_"), "leg_that_rejected")).when(F.col("screen_reject"), "screening").otherwise("none")
+    layer = F.when(F.col("headline_reject"), F.concat(F.lit("validated_"), "leg_that_rejected")).when(F.col("screen_reject"), "screening").otherwise("none")
     return decided(spark, sf_dir).groupBy("window_id", layer.alias("layer")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -143,9 +136,36 @@ def tests_table(spark, sf_dir):
     return decided(spark, sf_dir).select("window_id", "active_wallet", "eligible", micro(F.col("p_mag")).alias("p_mag"), micro(F.col("p_dir")).alias("p_dir"), "headline_reject", "status").join(w, ["window_id", "active_wallet"])
 
 
-QUERIES = {f.__name__: f for f in (cells, cell_seeds, fixed_slot_share, orbit_log, orbit_exact, family_sizes, reachability, holm_walk_limit, direction_floor, permute_sql, permute_philox, permute_philox_chunks, p_values, mc_sigma, second_seed, holm, bh, headline_union, top_n_ties, status_ladder, two_layer, leg_agreement, timing, tests_table)}
+def sensitivity_agreement(spark, sf_dir):
+    return multiple.sensitivity_agreement(decided(spark, sf_dir))
+
+
+def pooled_dnc(spark, sf_dir):
+    """Holm on dnc over a contract's windows together, beside the families by window."""
+    streams = a.windows(spark, sf_dir).select("window_id", F.col("condition_id").alias("stream_id"))
+    return multiple.pooled_holm(decided(spark, sf_dir), streams, "p_dnc", LEVELS["alpha"]).select("window_id", "active_wallet", micro(F.col("pooled_p")).alias("pooled_p"), "pooled_rank", "pooled_reject")
+
+
+def paper_view(spark, sf_dir):
+    return multiple.top_view(decided(spark, sf_dir), 25).select("window_id", "active_wallet", "tier", "status", "tied_into_top", "passes_t_star")
+
+
+def resolution_by_size(spark, sf_dir):
+    told = permute.resolution_by_size(permute.orbits(labelled(spark, sf_dir)))
+    return told.select("window_id", "slots", "pairs", "eligible", "reachable", micro(F.col("median_log_orbit")).alias("median_log_orbit"))
 
-part("i_slots", "SELECT l.window_id, l.bucket_index, p.profile, l.window_id || '|b' || CAST(l.bucket_index AS VARCHAR) || '|' || p.profile AS cell_id, l.slot_index, l.active_wallet, l.aligned AS e, CAST(l.score_sign AS BIGINT) AS sign FROM a_ledger l JOIN a_profiles p ON l.window_id = p.window_id AND l.active_wallet = p.active_wallet")
+
+def exact_families(spark, sf_dir):
+    return permute.exact_families(labelled(spark, sf_dir))
+
+
+def family_report(spark, sf_dir):
+    return permute.family_report(permute.exact_families(labelled(spark, sf_dir)))
+
+
+QUERIES = {f.__name__: f for f in (sensitivity_agreement, pooled_dnc, paper_view, resolution_by_size, exact_families, family_report, cells, cell_seeds, fixed_slot_share, orbit_log, orbit_exact, family_sizes, reachability, holm_walk_limit, direction_floor, permute_sql, permute_philox, permute_philox_chunks, p_values, mc_sigma, second_seed, holm, bh, headline_union, top_n_ties, status_ladder, two_layer, leg_agreement, timing, tests_table)}
+
+part("i_slots", "SELECT l.window_id, l.bucket_index, p.profile, l.window_id || '|b' || CAST(l.bucket_index AS VARCHAR) || '|' || p.profile AS cell_id, l.slot_index, l.active_wallet, l.aligned AS e, CAST(l.score_sign AS BIGINT) AS sign, CAST(floor(l.dnc * 1e6 + 0.5) AS BIGINT) AS dnc, CAST(floor(l.dfa * 1e6 + 0.5) AS BIGINT) AS dfa FROM a_ledger l JOIN a_profiles p ON l.window_id = p.window_id AND l.active_wallet = p.active_wallet")
 part("i_cells", "SELECT cell_id, window_id, bucket_index, profile, count(*) AS n_slots, count(DISTINCT active_wallet) AS n_wallets, count(DISTINCT active_wallet) > 1 AS movable FROM i_slots GROUP BY 1, 2, 3, 4")
 part("i_held", "SELECT *, CAST(sum(k) OVER (PARTITION BY cell_id) AS BIGINT) AS m FROM (SELECT cell_id, window_id, active_wallet, count(*) AS k FROM i_slots GROUP BY 1, 2, 3)")
 part("i_logs", "SELECT range AS k, sum(CASE WHEN range > 0 THEN ln(CAST(range AS DOUBLE)) ELSE 0::DOUBLE END) OVER (ORDER BY range ROWS UNBOUNDED PRECEDING) AS value FROM range(500)")
@@ -158,29 +178,35 @@ part("i_take", "SELECT h.window_id, h.active_wallet, h.k, h.m, s.a, s.b, s.c, le
 def _drawn(name: str, seed: int, source: str) -> None:
     part(f"{name}_keys", f"SELECT *, draw.range + 1 AS d, sha256('{seed}|' || cell_id || '|' || CAST(draw.range + 1 AS VARCHAR) || '|' || CAST(slot_index AS VARCHAR)) AS key FROM {source} CROSS JOIN range({DRAWS}) draw")
     part(f"{name}_placed", f"SELECT *, row_number() OVER (PARTITION BY cell_id, d ORDER BY key, slot_index) AS by_key, row_number() OVER (PARTITION BY cell_id, d ORDER BY slot_index) AS by_slot FROM {name}_keys")
-    part(f"{name}_totals", f"SELECT w.window_id, w.d, l.active_wallet, sum(w.e) AS e, sum(w.sign) AS sign FROM {name}_placed w JOIN {name}_placed l ON w.cell_id = l.cell_id AND w.d = l.d AND w.by_slot = l.by_key GROUP BY 1, 2, 3")
-    part(name, f"SELECT t.window_id, t.active_wallet, count_if(t.e >= s.e) AS n_mag, count_if(t.sign >= s.sign) AS n_dir, count(*) AS draws FROM {name}_totals t JOIN (SELECT window_id, active_wallet, sum(e) AS e, sum(sign) AS sign FROM i_slots GROUP BY 1, 2) s USING (window_id, active_wallet) GROUP BY 1, 2")
+    legs = {"mag": "e", "dir": "sign", "dnc": "dnc", "dfa": "dfa"}
+    sums = ", ".join(f"CAST(sum({{0}}{w}) AS BIGINT) AS {w}" for w in legs.values())
+    part(f"{name}_totals", f"SELECT w.window_id, w.d, l.active_wallet, {sums.replace('{0}', 'w.')} FROM {name}_placed w JOIN {name}_placed l ON w.cell_id = l.cell_id AND w.d = l.d AND w.by_slot = l.by_key GROUP BY 1, 2, 3")
+    reached = ", ".join(f"count_if(t.{w} >= s.{w}) AS n_{leg}" for leg, w in legs.items())
+    part(name, f"SELECT t.window_id, t.active_wallet, {reached}, count_if(t.e <= s.e) AS n_mirror, count(*) AS draws FROM {name}_totals t JOIN (SELECT window_id, active_wallet, {sums.replace('{0}', '')} FROM i_slots GROUP BY 1, 2) s USING (window_id, active_wallet) GROUP BY 1, 2")
 
 
 _drawn("i_counts", 2026, "i_slots")
-part("i_p", "SELECT *, CAST(n_mag + 1 AS DOUBLE) / (draws + 1) AS p_mag, CAST(n_dir + 1 AS DOUBLE) / (draws + 1) AS p_dir FROM i_counts")
+LEGS = {"mag": 0.2, "dir": 0.2, "dnc": 0.4, "dfa": 0.4}
+part("i_p", f"SELECT *, {', '.join(f'CAST(n_{leg} + 1 AS DOUBLE) / (draws + 1) AS p_{leg}' for leg in (*LEGS, 'mirror'))} FROM i_counts")
 part("i_sigma", "SELECT *, CASE WHEN p_mag < 1 THEN abs(p_mag - 0.025::DOUBLE) / sqrt(p_mag * (1 - p_mag) / draws) END AS sigma_mag, CASE WHEN p_dir < 1 THEN abs(p_dir - 0.025::DOUBLE) / sqrt(p_dir * (1 - p_dir) / draws) END AS sigma_dir FROM i_p")
 part("i_flagged", "SELECT * FROM i_slots WHERE window_id IN (SELECT window_id FROM i_sigma WHERE least(sigma_mag, sigma_dir) < 3)")
 _drawn("i_again", 2027, "i_flagged")
-part("i_roster", "SELECT p.*, s.n_slots, s.e, s.n_slots >= 3 AS eligible, CASE WHEN s.n_slots >= 3 THEN p_mag END AS c_mag, CASE WHEN s.n_slots >= 3 THEN p_dir END AS c_dir FROM i_p p JOIN (SELECT window_id, active_wallet, count(*) AS n_slots, CAST(sum(e) AS BIGINT) AS e FROM i_slots GROUP BY 1, 2) s USING (window_id, active_wallet)")
-part("i_steps", """
-SELECT *, (count(c_mag) OVER (PARTITION BY window_id) - row_number() OVER (PARTITION BY window_id, c_mag IS NULL ORDER BY c_mag, active_wallet) + 1) * c_mag AS step_mag, (count(c_dir) OVER (PARTITION BY window_id) - row_number() OVER (PARTITION BY window_id, c_dir IS NULL ORDER BY c_dir, active_wallet) + 1) * c_dir AS step_dir,
-  count(*) OVER (PARTITION BY window_id) * p_mag / row_number() OVER (PARTITION BY window_id ORDER BY p_mag, active_wallet) AS step_q, rank() OVER (PARTITION BY window_id ORDER BY e DESC) <= 10 AS top10 FROM i_roster
-""")
-part("i_adjusted", """
-SELECT *, CASE WHEN c_mag IS NOT NULL THEN least(1.0::DOUBLE, max(step_mag) OVER (PARTITION BY window_id, c_mag IS NULL ORDER BY c_mag, active_wallet ROWS UNBOUNDED PRECEDING)) END AS holm_mag_p, CASE WHEN c_dir IS NOT NULL THEN least(1.0::DOUBLE, max(step_dir) OVER (PARTITION BY window_id, c_dir IS NULL ORDER BY c_dir, active_wallet ROWS UNBOUNDED PRECEDING)) END AS holm_dir_p,
-  least(1.0::DOUBLE, min(step_q) OVER (PARTITION BY window_id ORDER BY p_mag DESC, active_wallet DESC ROWS UNBOUNDED PRECEDING)) AS screen_q FROM i_steps
+part("i_roster", f"SELECT p.*, s.* EXCLUDE (window_id, active_wallet), s.n_slots >= 3 AS eligible, {', '.join(f'CASE WHEN s.n_slots >= 3 THEN p_{leg} END AS c_{leg}' for leg in LEGS)} FROM i_p p JOIN (SELECT window_id, active_wallet, count(*) AS n_slots, CAST(sum(e) AS BIGINT) AS e, CAST(sum(sign) AS BIGINT) AS sign, min(slot_index) AS first_slot FROM i_slots GROUP BY 1, 2) s USING (window_id, active_wallet)")
+_ranks = ", ".join(f"CASE WHEN c_{leg} IS NOT NULL THEN row_number() OVER (PARTITION BY window_id, c_{leg} IS NULL ORDER BY c_{leg}, active_wallet) END AS holm_{leg}_rank, count(c_{leg}) OVER (PARTITION BY window_id) AS m_{leg}" for leg in LEGS)
+_tops = ", ".join(f"count(*) OVER (PARTITION BY window_id) * p_{leg} / row_number() OVER (PARTITION BY window_id ORDER BY p_{leg}, active_wallet) AS step_q_{leg}, rank() OVER (PARTITION BY window_id ORDER BY {w} DESC) <= 10 AS top_{leg}, row_number() OVER (PARTITION BY window_id ORDER BY {w} DESC, first_slot) <= 10 AS strict_{leg}" for leg, w in (("mag", "e"), ("dir", "sign")))
+part("i_steps", f"SELECT *, {_ranks}, {_tops} FROM i_roster")
+_adjusted = ", ".join(f"CASE WHEN c_{leg} IS NOT NULL THEN least(1.0::DOUBLE, max((m_{leg} - holm_{leg}_rank + 1) * c_{leg}) OVER (PARTITION BY window_id, c_{leg} IS NULL ORDER BY c_{leg}, active_wallet ROWS UNBOUNDED PRECEDING)) END AS holm_{leg}_p, {alpha}::DOUBLE / (m_{leg} - holm_{leg}_rank + 1) AS holm_{leg}_threshold" for leg, alpha in LEGS.items())
+_screens = ", ".join(f"least(1.0::DOUBLE, min(step_q_{leg}) OVER (PARTITION BY window_id ORDER BY p_{leg} DESC, active_wallet DESC ROWS UNBOUNDED PRECEDING)) AS screen_{leg}_q" for leg in ("mag", "dir"))
+part("i_adjusted", f"SELECT *, {_adjusted}, {_screens} FROM i_steps")
+part("i_flags", f"SELECT *, {', '.join(f'holm_{leg}_p <= {alpha}::DOUBLE AS holm_{leg}_reject' for leg, alpha in LEGS.items())}, screen_mag_q <= 0.25::DOUBLE AS screen_mag_reject, screen_dir_q <= 0.25::DOUBLE AS screen_dir_reject, screen_mag_q <= 0.25::DOUBLE OR screen_dir_q <= 0.25::DOUBLE AS screen_reject FROM i_adjusted")
+part("i_headline", """
+SELECT *, coalesce(holm_mag_reject, false) OR coalesce(holm_dir_reject, false) AS headline_reject, (top_mag OR top_dir) AND e > 0 AS top10, p_mag <= 0.06::DOUBLE AS passes_t_star,
+  CASE WHEN holm_mag_reject AND holm_dir_reject THEN 'both' WHEN holm_mag_reject THEN 'mag' WHEN holm_dir_reject THEN 'dir' ELSE 'none' END AS leg_that_rejected FROM i_flags
 """)
-part("i_flags", "SELECT *, holm_mag_p <= 0.2::DOUBLE AS holm_mag_reject, holm_dir_p <= 0.2::DOUBLE AS holm_dir_reject, screen_q <= 0.25::DOUBLE AS screen_reject, holm_mag_p <= 0.2::DOUBLE OR holm_dir_p <= 0.2::DOUBLE AS headline_reject FROM i_adjusted")
-part("i_decided", """
-SELECT *, CASE WHEN holm_mag_reject AND holm_dir_reject THEN 'both' WHEN holm_mag_reject THEN 'mag' WHEN holm_dir_reject THEN 'dir' END AS leg_that_rejected,
-  CASE WHEN coalesce(headline_reject, false) AND least(p_mag, p_dir) <= 0.06::DOUBLE THEN 'confirmed_repeat_active' WHEN coalesce(headline_reject, false) THEN 'review_queue' WHEN screen_reject THEN 'bh_review_screen' WHEN top10 THEN 'top10_descriptive' END AS status FROM i_flags
+part("i_status", """
+SELECT *, CASE WHEN (coalesce(holm_mag_reject, false) AND passes_t_star) OR coalesce(holm_dir_reject, false) THEN 'confirmed_repeat_active' WHEN holm_mag_reject THEN 'review_queue' WHEN screen_reject THEN 'bh_review_screen' WHEN top10 THEN 'top10_descriptive' END AS status FROM i_headline
 """)
+part("i_decided", "SELECT *, coalesce(status = 'top10_descriptive' AND NOT (strict_mag OR strict_dir), false) AS tied_into_top FROM i_status")
 _choose = lambda n, k: f"(SELECT value FROM i_logs WHERE k = {n}) - (SELECT value FROM i_logs WHERE k = {k}) - (SELECT value FROM i_logs WHERE k = {n} - {k})"
 ORACLE = {
     "cells": query("SELECT * FROM i_cells"),
@@ -196,11 +222,15 @@ ORACLE = {
     "mc_sigma": query(f"SELECT window_id, active_wallet, {grid('sigma_mag')} AS sigma_mag, {grid('sigma_dir')} AS sigma_dir, coalesce(least(sigma_mag, sigma_dir) < 3, false) AS review FROM i_sigma"),
     "second_seed": query("SELECT * FROM i_again"),
     "holm": query(f"SELECT window_id, active_wallet, eligible, {grid('holm_mag_p')} AS holm_mag_p, holm_mag_reject, {grid('holm_dir_p')} AS holm_dir_p, holm_dir_reject FROM i_decided"),
-    "bh": query(f"SELECT window_id, active_wallet, {grid('screen_q')} AS screen_q, screen_reject FROM i_decided"),
+    "bh": query(f"SELECT window_id, active_wallet, {grid('screen_mag_q')} AS screen_mag_q, {grid('screen_dir_q')} AS screen_dir_q, screen_reject FROM i_decided"),
+    "sensitivity_agreement": query(" UNION ALL ".join(f"SELECT '{leg}' AS leg, count_if(r) AS rejections, count_if(r AND NOT headline_reject) AS sensitivity_only, count_if(r AND headline_reject) AS both, count_if(NOT r AND headline_reject) AS headline_only, count_if(NOT r AND NOT headline_reject) AS neither FROM (SELECT coalesce(holm_{leg}_reject, false) AS r, headline_reject FROM i_decided)" for leg in ("dnc", "dfa"))),
+    "pooled_dnc": query(f"SELECT window_id, active_wallet, {grid('least(1.0::DOUBLE, max((m - pooled_rank + 1) * p_dnc) OVER (PARTITION BY condition_id ORDER BY pooled_rank ROWS UNBOUNDED PRECEDING))')} AS pooled_p, pooled_rank, least(1.0::DOUBLE, max((m - pooled_rank + 1) * p_dnc) OVER (PARTITION BY condition_id ORDER BY pooled_rank ROWS UNBOUNDED PRECEDING)) <= 0.4::DOUBLE AS pooled_reject FROM (SELECT d.window_id, d.active_wallet, d.p_dnc, w.condition_id, row_number() OVER (PARTITION BY w.condition_id ORDER BY d.p_dnc, d.window_id || '|' || d.active_wallet) AS pooled_rank, count(*) OVER (PARTITION BY w.condition_id) AS m FROM i_decided d JOIN a_windows w USING (window_id) WHERE d.eligible)"),
+    "paper_view": query("SELECT window_id, active_wallet, CAST(tier AS BIGINT) AS tier, status, tied_into_top, passes_t_star FROM (SELECT *, CASE status WHEN 'confirmed_repeat_active' THEN 1 WHEN 'review_queue' THEN 2 WHEN 'bh_review_screen' THEN 3 WHEN 'top10_descriptive' THEN 4 ELSE 5 END AS tier FROM i_decided) ORDER BY tier, least(coalesce(holm_mag_p, 'inf'::DOUBLE), coalesce(holm_dir_p, 'inf'::DOUBLE)), e DESC, window_id, active_wallet LIMIT 25"),
+    "resolution_by_size": query(f"SELECT window_id, CAST(least(n_slots, 6) AS BIGINT) AS slots, count(*) AS pairs, count_if(eligible) AS eligible, count_if(eligible AND log_orbit + ln(0.025::DOUBLE / m_confirmatory) >= -1e-9::DOUBLE) AS reachable, {grid('quantile_cont(log_orbit, 0.5)')} AS median_log_orbit FROM i_families GROUP BY 1, 2"),
     "headline_union": query("SELECT window_id, active_wallet, headline_reject, leg_that_rejected FROM i_decided"),
     "top_n_ties": query("SELECT window_id, active_wallet, e FROM i_decided WHERE top10"),
     "status_ladder": query("SELECT window_id, active_wallet, status FROM i_decided"),
-    "two_layer": query("SELECT window_id, CASE WHEN coalesce(headline_reject, false) THEN 'validated_' || leg_that_rejected WHEN screen_reject THEN 'screening' ELSE 'none' END AS layer, count(*) AS n FROM i_decided GROUP BY 1, 2"),
+    "two_layer": query("SELECT window_id, CASE WHEN headline_reject THEN 'validated_' || leg_that_rejected WHEN screen_reject THEN 'screening' ELSE 'none' END AS layer, count(*) AS n FROM i_decided GROUP BY 1, 2"),
     "leg_agreement": query("SELECT holm_mag_reject AS mag, holm_dir_reject AS dir, count(*) AS n FROM i_decided WHERE eligible GROUP BY 1, 2"),
     "timing": query("SELECT window_id, active_wallet, arg_min(timestamp, slot_index) AS first_ts, arg_min(CASE WHEN dnc > 0 THEN timestamp END, CASE WHEN dnc > 0 THEN slot_index END) AS first_aligned_ts, any_value(alarm_ts) AS alarm_ts, any_value(alarm_ts) - arg_min(timestamp, slot_index) AS seconds_to_alarm FROM a_ledger JOIN (SELECT window_id, max(timestamp) AS alarm_ts FROM a_slots GROUP BY 1) USING (window_id) GROUP BY 1, 2"),
     "tests_table": query(f"SELECT d.window_id, d.active_wallet, d.eligible, {grid('d.p_mag')} AS p_mag, {grid('d.p_dir')} AS p_dir, d.headline_reject, d.status, w.profile, w.n_mle, w.e_mle FROM i_decided d JOIN a_wallets w ON d.window_id = w.window_id AND d.active_wallet = w.active_wallet"),

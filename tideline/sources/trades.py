@@ -74,27 +74,33 @@ def on_grid(trades: DataFrame) -> DataFrame:
     )
 
 
-def raw_matches(trades: DataFrame) -> DataFrame:
-    """Trades written as raw matches: amounts as text in millionths, the cash leg's asset is '0'."""
+def _match_columns(first: str) -> list:
     buys = F.col("side") == "BUY"
     shares, cash = (micro(F.col(c)).cast("string") for c in ("gross_shares", "gross_cash"))
-    return trades.select(
-        F.col("transaction_hash").alias("id"),
+    return [
+        F.col("transaction_hash").alias(first),
         F.col("timestamp").cast("string").alias("timestamp"),
         F.when(buys, "0").otherwise(F.col("token_id")).alias("makerAssetID"),
         F.when(buys, F.col("token_id")).otherwise("0").alias("takerAssetID"),
         F.when(buys, cash).otherwise(shares).alias("makerAmountFilled"),
         F.when(buys, shares).otherwise(cash).alias("takerAmountFilled"),
-    )
+    ]
+
+
+def raw_matches(trades: DataFrame) -> DataFrame:
+    """Trades written as raw matches: amounts as text in millionths, the cash leg's asset is '0'."""
+    return trades.select(*_match_columns("id"))
 
 
 def raw_fills(trades: DataFrame) -> DataFrame:
     """Two fills a trade as a two-sided scan gives them: the active wallet's against the exchange, and a counterparty's; the first comes twice."""
-    m = raw_matches(trades).select("id", "timestamp", F.col("makerAssetID").alias("makerAssetId"), F.col("takerAssetID").alias("takerAssetId"), "makerAmountFilled", "takerAmountFilled")
-    wallets = trades.select(F.col("transaction_hash").alias("id"), "active_wallet")
-    one = m.join(wallets, "id").select(F.concat(F.col("id"), F.lit("_a")).alias("fill_id"), F.col("id").alias("transactionHash"), "timestamp", F.col("active_wallet").alias("maker"), F.lit(EXCHANGE).alias("taker"), "makerAssetId", "takerAssetId", "makerAmountFilled", "takerAmountFilled", F.lit("0").alias("fee"))
-    other = one.select(F.concat(F.col("transactionHash"), F.lit("_b")).alias("fill_id"), "transactionHash", "timestamp", F.concat(F.lit("pool"), F.substring("transactionHash", -1, 1)).alias("maker"), F.col("maker").alias("taker"), F.col("takerAssetId").alias("makerAssetId"), F.col("makerAssetId").alias("takerAssetId"), F.col("takerAmountFilled").alias("makerAmountFilled"), F.col("makerAmountFilled").alias("takerAmountFilled"), "fee")
-    return one.unionByName(other).unionByName(one)
+    m = trades.select("active_wallet", *_match_columns("transactionHash"))
+    text = lambda c: F.col(c).alias(c)
+    one = F.struct(F.concat("transactionHash", F.lit("_a")).alias("fill_id"), F.col("active_wallet").alias("maker"), F.lit(EXCHANGE).alias("taker"), F.col("makerAssetID").alias("makerAssetId"), F.col("takerAssetID").alias("takerAssetId"), text("makerAmountFilled"), text("takerAmountFilled"))
+    pool = F.concat(F.lit("pool"), F.substring("transactionHash", -1, 1))
+    other = F.struct(F.concat("transactionHash", F.lit("_b")).alias("fill_id"), pool.alias("maker"), F.col("active_wallet").alias("taker"), F.col("takerAssetID").alias("makerAssetId"), F.col("makerAssetID").alias("takerAssetId"), F.col("takerAmountFilled").alias("makerAmountFilled"), F.col("makerAmountFilled").alias("takerAmountFilled"))
+    fills = m.select("transactionHash", "timestamp", F.explode(F.array(one, other, one)).alias("f"))
+    return fills.select("f.fill_id", "transactionHash", "timestamp", "f.maker", "f.taker", "f.makerAssetId", "f.takerAssetId", "f.makerAmountFilled", "f.takerAmountFilled", F.lit("0").alias("fee"))
 
 
 TRADE_SCHEMA = T.StructType([T.StructField(c, T.LongType() if c == "timestamp" else T.DoubleType() if c in ("gross_shares", "gross_price", "yes_price", "signed_yes_size", "gross_cash") else T.StringType()) for c in TRADE_COLUMNS])
