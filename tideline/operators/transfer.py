@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .attribute import numbered_slots
+from .multiple import benjamini_hochberg, holm
+
 
 def bucket_bounds(bucketed: DataFrame) -> DataFrame:
     return bucketed.groupBy("condition_id", "bucket_index").agg(F.min("timestamp").alias("start_ts"), F.max("timestamp").alias("end_ts"))
@@ -74,3 +77,99 @@ def lead_lag(windows: DataFrame, bounds: DataFrame) -> DataFrame:
     at = windows.join(bounds, (windows["condition_id"] == bounds["condition_id"]) & (windows["alarm_bucket"] == bounds["bucket_index"])).select("window_id", F.col("end_ts").alias("available_ts"))
     first = at.agg(F.min("available_ts").alias("first_ts"))
     return at.crossJoin(F.broadcast(first)).select("window_id", "available_ts", (F.col("available_ts") - F.col("first_ts")).alias("seconds_after_first"))  # one row
+
+
+# --- windows carried to other contracts, tested there ---
+
+TRANSFER, PLACEBO = "transfer", "placebo"
+KEYS = ("window_id", "active_wallet")
+
+
+def planned(spans: DataFrame, placebos: DataFrame, windows: DataFrame, warm_up: int = 20) -> DataFrame:
+    """One row a window to test: each span an alarm maps to another contract, and each one's placebo.
+
+    `window_id` is the window's own key from here on, `source_id` the alarm's. A window that starts inside the
+    buckets its baseline is estimated from has no detector-weighted arm.
+    """
+    own = windows.select(F.col("window_id").alias("source_id"), F.col("condition_id").alias("source"), "direction", "winning_delta")
+    key = lambda role, first, last: F.concat_ws("|", F.lit(role), "source_id", "condition_id", F.concat(F.lit("b"), first.cast("string"), F.lit("-"), last.cast("string")))
+    moved = spans.select(F.col("window_id").alias("source_id"), "condition_id", "first_bucket", "last_bucket")
+    moved = moved.withColumn("window_id", key(TRANSFER, F.col("first_bucket"), F.col("last_bucket"))).withColumn("role", F.lit(TRANSFER)).withColumn("controls", F.lit(None).cast("string"))
+    held = placebos.select(F.col("window_id").alias("source_id"), "condition_id", "source_first", "source_last", "first_bucket", "last_bucket")
+    held = held.withColumn("window_id", key(PLACEBO, F.col("first_bucket"), F.col("last_bucket"))).withColumn("role", F.lit(PLACEBO)).withColumn("controls", key(TRANSFER, F.col("source_first"), F.col("source_last")))
+    rows = moved.unionByName(held.drop("source_first", "source_last")).join(own, "source_id")
+    return rows.withColumn("baseline_available", F.col("first_bucket") >= warm_up)
+
+
+def target_slots(windows: DataFrame, bucketed: DataFrame) -> DataFrame:
+    """Every trade of each window's buckets in slot order; all of them are tested."""
+    w = windows.select("window_id", "condition_id", "first_bucket", "last_bucket", "direction", "winning_delta")
+    rows = bucketed.join(w, "condition_id").where(F.col("bucket_index").between(F.col("first_bucket"), F.col("last_bucket")))
+    return numbered_slots(rows).withColumn("in_mle", F.lit(True))
+
+
+def usable(windows: DataFrame, path: DataFrame) -> DataFrame:
+    """Adds w_window, the plain sum of single-step log likelihood ratios in quarter millionths, and why it is missing if it is.
+
+    No walk is reflected here: the sum is of delta d z - delta^2 / 2 over the window's buckets. It fails closed on a
+    baseline not there yet, and on any imputed or degenerate bucket inside.
+    """
+    w = windows.select("window_id", "condition_id", "first_bucket", "last_bucket", "direction", "winning_delta")
+    inside = path.join(w, "condition_id").where(F.col("bucket_index").between(F.col("first_bucket"), F.col("last_bucket")))
+    step = (F.col("winning_delta") * 4).cast("long") * F.col("direction") * F.col("z") - (F.col("winning_delta") * F.col("winning_delta") / 2 * 4_000_000).cast("long")
+    sums = inside.groupBy("window_id").agg(F.sum(step).alias("llr"), F.bool_or(F.col("imputed") | F.col("scale_degenerate")).alias("bad"))
+    told = windows.join(sums, "window_id", "left")
+    reason = F.when(~F.col("baseline_available"), "inside_baseline").when(F.coalesce("bad", F.lit(True)), "imputed_or_degenerate_bucket")
+    return told.withColumn("rejected", reason).withColumn("w_window", F.when(reason.isNull(), F.col("llr"))).drop("llr", "bad")
+
+
+#: p-value, whether only transferred windows (True), only placebos (False), and what else a member needs, share of alpha.
+FAMILIES = {
+    "primary": ("p_mag_e", TRANSFER, "true", 1.0),
+    "mag": ("p_vdw", TRANSFER, "true", 0.5),
+    "dir": ("p_dir", TRANSFER, "true", 0.5),
+    "no_leak": ("p_mag_e", TRANSFER, "NOT crosses_source", 1.0),
+    "mirror": ("p_mirror", TRANSFER, "true", 1.0),
+    "secondary_dnc": ("p_dnc", TRANSFER, "measured", 1.0),
+    "placebo": ("p_mag_e", PLACEBO, "true", 1.0),
+}
+
+
+def family_decisions(rows: DataFrame, alpha: float) -> DataFrame:
+    """(window_id, active_wallet, family, p, holm_p, holm_rank, m, reject, reachable): each family by window, at its own level.
+
+    Reachable: the orbit's floor meets the family's first step, 1 / orbit <= level / m, on logarithms.
+    """
+    kinds = [F.when(F.col("eligible") & (F.col("role") == role) & F.expr(needs), F.struct(F.lit(name).alias("family"), F.col(p).alias("p"), F.lit(share * alpha).alias("level"))) for name, (p, role, needs, share) in FAMILIES.items()]
+    long = rows.select(*KEYS, "log_orbit", F.explode(F.array_compact(F.array(*kinds))).alias("f")).select(*KEYS, "log_orbit", "f.*").withColumn("unit", F.concat_ws("|", "family", "window_id"))
+    told = holm(long, "p", "unit", "active_wallet", alpha)
+    m = F.count(F.lit(1)).over(Window.partitionBy("unit"))
+    return told.withColumn("m", m).select(*KEYS, "family", "p", "holm_p", "holm_rank", "m", (F.col("holm_p") <= F.col("level")).alias("reject"), (F.log(F.col("level") / F.col("m")) + F.col("log_orbit") >= 0).alias("reachable"))
+
+
+def pair_decisions(rows: DataFrame, families: DataFrame, bh_q: float) -> DataFrame:
+    """One row a pair: its rejections by family, both tails, what only the sensitivity says, and the screen of the study's own pairs."""
+    names = list(FAMILIES)
+    wide = families.groupBy(*KEYS).agg(*[F.max(F.when(F.col("family") == n, F.col("reject"))).alias(f"reject_{n}") for n in names])
+    told = rows.withColumn("screened", F.when(F.col("role") == TRANSFER, F.col("p_mag_e")))
+    told = benjamini_hochberg(told, "screened", "window_id", "active_wallet", bh_q, "screen").join(wide, list(KEYS), "left")
+    yes = lambda n: F.coalesce(F.col(f"reject_{n}"), F.lit(False))
+    return told.withColumn("both_tails", yes("primary") & yes("mirror")).withColumn("secondary_only", yes("secondary_dnc") & ~yes("primary"))
+
+
+def contrast(windows: DataFrame, decisions: DataFrame) -> DataFrame:
+    """By role: windows, pairs, rejections of its own family and their share of eligible pairs. The two are never one family."""
+    rejected = F.coalesce(F.when(F.col("role") == TRANSFER, F.col("reject_primary")).otherwise(F.col("reject_placebo")), F.lit(False))
+    told = decisions.withColumn("rejected", rejected)
+    pairs = told.groupBy("role").agg(
+        F.count(F.lit(1)).alias("pairs"), F.count_if("eligible").alias("eligible_pairs"), F.count_if("rejected").alias("rejections"), F.countDistinct(F.when(F.col("rejected"), F.col("window_id"))).alias("windows_with_rejection"), F.min("p_mag_e").alias("least_p")
+    )
+    counted = windows.groupBy("role").agg(F.count(F.lit(1)).alias("windows"))
+    share = F.when(F.col("eligible_pairs") > 0, F.col("rejections") / F.col("eligible_pairs"))
+    return counted.join(pairs, "role", "left").withColumn("rate", share)
+
+
+def uncontrolled(windows: DataFrame) -> DataFrame:
+    """Transferred windows for which their contract had no room for a placebo."""
+    controls = windows.where("controls IS NOT NULL").select(F.col("controls").alias("window_id"))
+    return windows.where(F.col("role") == TRANSFER).join(controls, "window_id", "left_anti").select("window_id")
