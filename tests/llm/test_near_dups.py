@@ -36,7 +36,7 @@ def brute(rows, width, percent):
 
 
 def got(df):
-    return sorted(map(tuple, df.collect()), key=str)
+    return sorted(map(tuple, df.select("doc_id", "n_shingles", "component_id", "kept").collect()), key=str)
 
 
 def test_sets_equal_the_plain_reading():
@@ -75,6 +75,27 @@ def test_groups_edges_nulls_and_hot_passages(spark, monkeypatch):
     assert got(N.near_duplicates(df, 4, 80)) == sorted(brute(rows, 4, 80), key=str)
 
 
+def test_texts_of_one_doc_id_are_linked_each_by_its_own(spark):
+    words = [f"w{i}" for i in range(120)]
+    one, two, like_two = " ".join(words), " ".join(words[::-1]), " ".join([*words[::-1][:-2], "x", "y"])
+    df = spark.createDataFrame([(1, one, "p"), (1, two, "q"), (3, like_two, "r"), (4, one, "s"), (5, "other words " * 9, "t")], "doc_id long, text string, mine string").repartition(2)
+    found = {r.mine: (r.component_id, r.kept) for r in N.near_duplicates(df, 4, 80, keep=("mine",)).collect()}
+    assert found == {"p": (1, True), "q": (1, True), "r": (1, False), "s": (1, False), "t": (5, True)}
+    tags = {r.mine: r.component_tag for r in N.near_duplicates(df, 4, 80, keep=("mine",)).collect()}
+    assert tags["p"] == tags["s"] != tags["q"] == tags["r"]
+
+
+def test_very_long_text_and_salted_lists(spark, monkeypatch):
+    monkeypatch.setattr(N, "SALT_ROWS", 3)
+    monkeypatch.setattr(N, "BLOCK", 2)
+    rng = random.Random(8)
+    long = [f"w{rng.randrange(5000)}" for _ in range(200_000)]
+    hot = [f"h{i}" for i in range(40)]
+    rows = [(1, " ".join(long)), (2, " ".join([*long, "more"]))] + [(10 + i, " ".join([*hot, *(f"o{i}x{k}" for k in range(rng.choice((1, 2, 3, 9, 15))))])) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert got(N.near_duplicates(df, 4, 80)) == sorted(brute(rows, 4, 80), key=str)
+
+
 def test_repeated_and_missing_ids_and_empty_table(spark):
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (9, "A B c d e f")]
     df = spark.createDataFrame(rows, "doc_id long, text string")

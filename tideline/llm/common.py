@@ -2,24 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..functions.shared import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tideline-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+
+BATCH_BYTES = 8 << 20
+BROADCAST_BYTES = 8 << 20
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -43,12 +39,28 @@ def drop(staged: DataFrame | str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_BYTES at most in this session from now on; what is computed doesn't depend on it.
+
+    A batch is held by the JVM and by the Python worker at once, beside what the worker makes of it.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def stored_bytes(spark: SparkSession, path: str) -> int:
     """Bytes under a path, from the file system's own summary."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
 
 
+def small(staged: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A staged table, to be broadcast in joins if its files hold no more than `limit` bytes."""
+    return F.broadcast(staged) if stored_bytes(staged.sparkSession, staged._tideline_path) <= limit else staged
+
+
 def only(df: DataFrame, **wanted: str) -> DataFrame:
     """Exactly the wanted columns with the wanted types; whatever else the table carries cannot clash with ours."""
     return df.select(*[F.col(name).cast(kind).alias(name) for name, kind in wanted.items()])

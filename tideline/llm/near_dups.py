@@ -18,14 +18,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import arrowtext
-from .common import drop, only, stage, stored_bytes
+from .common import drop, small, small_batches, stage
 from .components import components
 
 K = 64
 NEED = 33  # at similarity 0.8 a pair shares fewer of 64 retained values with a chance of about one in ten million
 BLOCK, VALUES = 256, 2048
+SALT_ROWS = 4096  # members of an inverted list that are ranked by one task
 FIRST_PARTNERS = 3
-BROADCAST_BYTES = 16 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -53,6 +53,10 @@ def shingle_sets(values: pa.Array, width: int) -> Iterator[np.ndarray]:
             yield joined[:0]
 
 
+def _digest(shingles: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(shingles.tobytes())
+
+
 def _sketch_batches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -60,9 +64,9 @@ def _sketch_batches(width: int):
                 size, digest, sketch = [], [], []
                 for s in shingle_sets(arrowtext.texts(part), width):
                     size.append(len(s))
-                    digest.append(xxhash.xxh3_128_digest(s.tobytes()))
+                    digest.append(_digest(s))
                     sketch.append(s[:K].astype(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.list_(pa.int64()))], ["doc_id", "n", "digest", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.list_(pa.int64())), *part.columns[2:]], ["doc_id", "n", "digest", "sketch", *part.schema.names[2:]])
 
     return run
 
@@ -71,8 +75,11 @@ def _set_batches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in arrowtext.slices(batch):
-                sets = [s.tobytes() for s in shingle_sets(arrowtext.texts(part), width)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["id", "shingles"])
+                digest, sets = [], []
+                for s in shingle_sets(arrowtext.texts(part), width):
+                    digest.append(_digest(s))
+                    sets.append(s.tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digest, pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "digest", "shingles"])
 
     return run
 
@@ -82,12 +89,16 @@ def needed(n: int) -> int:
     return min(NEED, math.ceil(0.8 * min(n, K)))
 
 
-def _side(row: pa.StructScalar | pa.ListScalar) -> tuple[np.ndarray, ...]:
-    """ids, sizes, labels, flat sketches and the member of each sketch value, without a Python object a value."""
+def _node(ids: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+    return ids.field("doc").to_numpy(), ids.field("tag").to_numpy()
+
+
+def _side(row: pa.ListScalar) -> tuple[np.ndarray, ...]:
+    """doc, tag, size and label mark of the members, flat sketches and the member of each sketch value, without a Python object a value."""
     members = row.values
     sketch = members.field("sketch")
     width = np.diff(sketch.offsets.to_numpy())
-    return (*(members.field(c).to_numpy() for c in ("id", "n", "label")), sketch.flatten().to_numpy(), np.repeat(np.arange(len(members)), width))
+    return (*_node(members.field("id")), members.field("n").to_numpy(), members.field("mark").to_numpy(), sketch.flatten().to_numpy(), np.repeat(np.arange(len(members)), width))
 
 
 def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,22 +111,26 @@ def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(batch.num_rows):
             left = _side(batch.column(0)[k])
             right = _side(batch.column(1)[k]) if batch.column(1)[k].is_valid else left
-            both = np.intersect1d(left[3], right[3])
+            both = np.intersect1d(left[4], right[4])
             shared = np.zeros((len(left[0]), len(right[0])), np.float32)
             for start in range(0, len(both), VALUES):
                 some = both[start : start + VALUES]
                 tables = []
                 for side in (left, right):
-                    at = np.minimum(np.searchsorted(some, side[3]), len(some) - 1)
-                    hit = some[at] == side[3]
+                    at = np.minimum(np.searchsorted(some, side[4]), len(some) - 1)
+                    hit = some[at] == side[4]
                     tables.append(np.zeros((len(side[0]), len(some)), np.float32))
-                    tables[-1][side[4][hit], at[hit]] = 1
+                    tables[-1][side[5][hit], at[hit]] = 1
                 shared += tables[0] @ tables[1].T
-            small, large = np.minimum(left[1][:, None], right[1]), np.maximum(left[1][:, None], right[1])
-            good = (shared >= np.minimum(NEED, np.ceil(0.8 * np.minimum(small, K)))) & (left[2][:, None] != right[2]) & (100 * small >= 80 * large)
+            small, large = np.minimum(left[2][:, None], right[2]), np.maximum(left[2][:, None], right[2])
+            good = (shared >= np.minimum(NEED, np.ceil(0.8 * np.minimum(small, K)))) & (left[3][:, None] != right[3]) & (100 * small >= 80 * large)
             i, j = np.nonzero(good)
-            a, b = left[0][i], right[0][j]
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b), pa.int64()), pa.array(np.minimum(a, b), pa.int64()), pa.array(shared[i, j].astype(np.int32))], ["u", "v", "shared"])
+            a_doc, a_tag, b_doc, b_tag = left[0][i], left[1][i], right[0][j], right[1][j]
+            after = (a_doc > b_doc) | (a_doc == b_doc) & (a_tag > b_tag)
+            ends = [
+                pa.StructArray.from_arrays([pa.array(np.where(first, a_doc, b_doc), pa.int64()), pa.array(np.where(first, a_tag, b_tag), pa.int64())], ["doc", "tag"]) for first in (after, ~after)
+            ]
+            yield pa.RecordBatch.from_arrays([*ends, pa.array(shared[i, j].astype(np.int32))], ["u", "v", "shared"])
 
 
 def _estimate_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,24 +166,44 @@ def _joined(pairs: DataFrame, side: DataFrame, *columns: str) -> DataFrame:
     return pairs
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row.
+def _absorbed(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after further links: components of the labels that the links join, nothing is solved anew."""
+    ends = links
+    for end in ("u", "v"):
+        ends = ends.join(labels.select(F.col("id").alias(end), F.col("label").alias(f"{end}_label")), end, "left")
+    joined = stage(components(ends.select(F.coalesce("u_label", "u").alias("u"), F.coalesce("v_label", "v").alias("v"))), "joined")
+    moved = labels.join(joined.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left").select("id", F.coalesce("to", "label").alias("label"))
+    out = stage(moved.unionByName(joined.join(labels, "id", "left_anti")), "labels")
+    drop(joined)
+    drop(labels)
+    return out
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, component_tag and the columns `keep` for every row.
 
     Rows are linked where 100 * |A and B| >= percent * |A or B| of their shingle sets (percent 80 and more);
     component_id is the least doc_id that can be reached, kept whether that is the row's own. A null or empty text,
-    or one of white space alone, has no shingles and no link. Rows that repeat a doc_id are each returned, with
-    the same component if their texts agree; a row without doc_id takes no part: its component is null and it is kept.
-    Other columns are ignored.
-
-    A class of equal sets of any size is one member of the search. A list of any length is cut into blocks of
-    bounded size which meet pairwise if the sizes of their documents allow a link, first after links between
-    neighbours have joined what is alike; nothing is emitted for pairs that are joined already.
+    or one of white space alone, has no shingles and no link. Rows that repeat a doc_id are each returned and each
+    linked by its own text: with the same component if their texts agree, else each with that of its own links
+    (component_tag tells such components of one component_id apart). A row without doc_id takes no part: its component
+    is null and it is kept. Columns not in `keep`, which must not have our names, are ignored.
+
+    A class of equal sets of any size is one member of the search; it is known by its least doc_id and a tag of its
+    digest. A list of any length is spread over salts, cut into blocks of bounded size, and blocks meet pairwise if
+    the sizes of their documents allow a link, first after links between neighbours have joined what is alike; nothing
+    is emitted for pairs that are joined already.
     """
     spark = docs.sparkSession
-    clean = only(docs, doc_id="long", text="string")
-    all_ = stage(clean.mapInArrow(_sketch_batches(width), "doc_id long, n long, digest binary, sketch array<long>"), "sketches")
+    small_batches(spark)
+    clean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
+    node = "struct<doc: bigint, tag: bigint>"
+    carried = "".join(f", `{c}` {clean.schema[c].dataType.simpleString()}" for c in keep)
+    all_ = stage(clean.mapInArrow(_sketch_batches(width), f"doc_id long, n long, digest binary, sketch array<long>{carried}"), "sketches")
     usable = all_.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    reps = stage(usable.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    tag = F.xxhash64("digest")
+    classes = usable.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    reps = stage(classes.select("digest", F.struct("doc", tag.alias("tag")).alias("id"), "n", "sketch"), "classes")
 
     # Inverted lists of the rarest retained values. A value that one class alone retains finds nothing, but counts as rarest.
     values = reps.select("id", "n", F.explode("sketch").alias("value"))
@@ -178,50 +213,61 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     need = F.least(F.lit(NEED), F.ceil(F.lit(0.8) * kept))
     by_id = Window.partitionBy("id")
     rank = kept - F.count(F.lit(1)).over(by_id) + F.row_number().over(by_id.orderBy("df", "value"))
-    lists = stage(common.withColumn("rank", rank).where(F.col("rank") <= kept - need + 1).select("value", "id", "n"), "lists")
+    salts = F.ceil(F.col("df") / SALT_ROWS)
+    ranked = common.withColumn("rank", rank).where(F.col("rank") <= kept - need + 1)
+    lists = stage(ranked.select("value", "id", "n", F.pmod(F.xxhash64("id"), salts).alias("salt"), salts.alias("salts")), "lists")
 
-    members = stage(lists.select("id").distinct(), "members")
-    wanted = F.broadcast(members) if stored_bytes(spark, members._tideline_path) <= BROADCAST_BYTES else members
-    texts = clean.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    sets = stage(texts.mapInArrow(_set_batches(width), "id long, shingles binary").dropDuplicates(["id"]), "sets")
+    members = stage(lists.select("id.doc").distinct(), "members")
+    texts = clean.select("doc_id", "text").join(small(members).withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi")
+    found_sets = texts.mapInArrow(_set_batches(width), "doc_id long, digest binary, shingles binary")
+    sets = stage(found_sets.select(F.struct(F.col("doc_id").alias("doc"), tag.alias("tag")).cast(node).alias("id"), "shingles").dropDuplicates(["id"]), "sets")
+    drop(members)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         chosen = _joined(pairs.select("u", "v"), sets, "shingles").select("u", "v", "a_shingles", "b_shingles")
-        return stage(chosen.mapInArrow(_confirm_batches(percent), "u long, v long"), "links")
+        return stage(chosen.mapInArrow(_confirm_batches(percent), f"u {node}, v {node}"), "links")
 
     # First, neighbours in each list by size: what is alike is soon joined.
-    order = Window.partitionBy("value").orderBy("n", "id")
+    order = Window.partitionBy("value", "salt").orderBy("n", "id")
     near = lists.withColumn("next", F.lead("id").over(order)).withColumn("next_n", F.lead("n").over(order)).where(F.col("next").isNotNull() & (F.col("n") * 100 >= F.col("next_n") * 80))
     first = near.select(F.greatest("id", "next").alias("u"), F.least("id", "next").alias("v")).distinct()
-    estimated = _joined(first, reps, "sketch", "n").select("u", "v", "a_sketch", "b_sketch", "a_n", "b_n").mapInArrow(_estimate_batches, "u long, v long")
+    estimated = _joined(first, reps, "sketch", "n").select("u", "v", "a_sketch", "b_sketch", "a_n", "b_n").mapInArrow(_estimate_batches, f"u {node}, v {node}")
     links = confirmed(estimated)
     labels = stage(components(links), "labels")
+    drop(links)
 
     # Then every pair of a list that is not joined yet.
-    label = lambda ids: F.coalesce(F.col("label"), F.col(ids))
-    told = lists.join(labels, "id", "left").withColumn("label", label("id"))
+    told = lists.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed = told.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("value")
     placed = told.join(mixed, "value", "left_semi").withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK)).join(reps.select("id", "sketch"), "id")
-    blocks = placed.groupBy("value", "block").agg(F.collect_list(F.struct("id", "n", "label", "sketch")).alias("side"), F.min("n").alias("low"), F.max("n").alias("high"))
-    blocks = stage(blocks, "blocks")
-    a, b = blocks.alias("a"), blocks.alias("b")
-    met = a.join(b, (F.col("a.value") == F.col("b.value")) & (F.col("a.block") < F.col("b.block")) & (F.col("a.high") * 100 >= F.col("b.low") * 80)).select(F.col("a.side").alias("left"), F.col("b.side").alias("right"))
+    side = F.collect_list(F.struct("id", "n", F.xxhash64("label").alias("mark"), "sketch")).alias("side")
+    blocks = stage(placed.groupBy("value", "salt", "salts", "block").agg(side, F.min("n").alias("low"), F.max("n").alias("high")), "blocks")
+    drop(lists)
+    a, b = blocks.alias("a"), blocks.withColumn("meets", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).alias("b")
+    allowed = (F.col("a.low") * 80 <= F.col("b.high") * 100) & (F.col("b.low") * 80 <= F.col("a.high") * 100)
+    once = F.struct("a.salt", "a.block") < F.struct("b.salt", "b.block")
+    met = a.join(b, (F.col("a.value") == F.col("b.value")) & (F.col("a.salt") == F.col("b.meets")) & once & allowed).select(F.col("a.side").alias("left"), F.col("b.side").alias("right"))
     alone = blocks.select(F.col("side").alias("left"), F.lit(None).cast(blocks.schema["side"].dataType).alias("right"))
-    pairs = stage(met.unionByName(alone).mapInArrow(_block_pairs, "u long, v long, shared int").where("u <> v").groupBy("u", "v").agg(F.max("shared").alias("shared")), "pairs")
+    pairs = stage(met.unionByName(alone).mapInArrow(_block_pairs, f"u {node}, v {node}, shared int").where("u <> v").groupBy("u", "v").agg(F.max("shared").alias("shared")), "pairs")
     drop(blocks)
     if pairs.limit(1).count():
         # The likeliest partners first: most of the rest is joined by then and need not be confirmed.
         ends = pairs.withColumn("end", F.explode(F.array("u", "v")))
         best = ends.withColumn("rank", F.row_number().over(Window.partitionBy("end").orderBy(F.desc("shared"), "u", "v"))).where(F.col("rank") <= FIRST_PARTNERS).select("u", "v").distinct()
         second = confirmed(best)
-        labels = stage(components(links.union(second)), "labels")
+        labels = _absorbed(labels, second)
         left = pairs.select("u", "v").join(best, ["u", "v"], "left_anti")
         for end in ("u", "v"):
             left = left.join(labels.select(F.col("id").alias(end), F.col("label").alias(f"{end}_label")), end, "left")
         third = confirmed(left.where(F.coalesce("u_label", "u") != F.coalesce("v_label", "v")))
         if third.limit(1).count():
-            labels = stage(components(links.union(second).union(third)), "labels")
-
-    found = all_.select("doc_id", "n", "digest").join(reps.select("digest", "id"), "digest", "left").join(labels, "id", "left")
-    component = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("label", "id"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+            labels = _absorbed(labels, third)
+        drop(second)
+        drop(third)
+    drop(pairs)
+    drop(sets)
+
+    found = all_.select("doc_id", "n", "digest", *keep).join(reps.select("digest", "id"), "digest", "left").join(labels, "id", "left")
+    component = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("label.doc", "id.doc"))
+    kept_row = F.coalesce(F.col("doc_id") == component, F.lit(True))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept_row.alias("kept"), F.coalesce("label.tag", "id.tag").alias("component_tag"), *keep)
