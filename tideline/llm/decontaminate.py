@@ -14,20 +14,21 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from . import arrowtext
-from .common import only
+from .common import only, small_batches
 
 K1, B = 1.2, 0.75
 POSTING_BLOCK = 8
 BOUND_COLUMNS = 48
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 16 << 20
 _TRIM = re.compile(r"[\W_]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
@@ -65,22 +66,40 @@ def runs(words: list[str], width: int) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} if width else set()
 
 
+class Statistics:
+    """What scores and windows need of all items, however these are cut into shards."""
+
+    def __init__(self, texts: Iterable[str]):
+        self.items = self.words = self.longest = 0
+        self.df: Counter[str] = Counter()
+        for words in filter(None, map(words_of, texts)):
+            self.items += 1
+            self.words += len(words)
+            self.longest = max(self.longest, len(words))
+            self.df.update(set(words))
+
+    def idf(self, term: str) -> float:
+        n = self.df[term]
+        return math.log(1 + (self.items - n + 0.5) / (n + 0.5))
+
+
 class ItemIndex:
     """Postings with weights normalized by item, block maxima within postings, and maxima over blocks of items."""
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = 0.5, width: int = 5):
+    def __init__(self, items: list[tuple[int, str]], threshold: float = 0.5, width: int = 5, over: Statistics | None = None):
         self.threshold, self.width = threshold, width
+        over = over or Statistics(t for _, t in items)
         split = [(i, t, words_of(t)) for i, t in items]
         split = [x for x in split if x[2]]
         self.ids = [i for i, _, _ in split]
         self.parts = [question_and_answer(t) for _, t, _ in split]
-        self.longest = max((len(w) for *_, w in split), default=0)
-        mean = sum(len(w) for *_, w in split) / max(1, len(split))
-        df = Counter(t for *_, w in split for t in set(w))
-        idf = {t: math.log(1 + (len(split) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
-        self.terms = {t: k for k, t in enumerate(sorted(df))}
+        self.longest, mean = over.longest, over.words / max(1, over.items)
+        own_terms = sorted({t for *_, w in split for t in w})
+        idf = {t: over.idf(t) for t in own_terms}
+        self.terms = {t: k for k, t in enumerate(own_terms)}
         self.postings: list[tuple[list[int], list[float]]] = [([], []) for _ in self.terms]
         columns = min(BOUND_COLUMNS, max(1, len(split)))
+        self.edges = [-(-c * len(split) // columns) for c in range(columns + 1)]  # column c bounds the items edges[c] to edges[c + 1]
         self.bounds = np.zeros((len(self.terms), columns), np.float32)
         for n, (*_, w) in enumerate(split):
             raw = {t: idf[t] * c * (K1 + 1) / (c + K1 * (1 - B + B * len(w) / mean)) for t, c in Counter(w).items()}
@@ -94,14 +113,19 @@ class ItemIndex:
         self.most = [max(x) for _, x in self.postings]
         self.block_most = [[max(x[i : i + POSTING_BLOCK]) for i in range(0, len(x), POSTING_BLOCK)] for _, x in self.postings]
 
-    def search(self, terms: list[int]) -> list[tuple[int, float]]:
-        """Items whose score by the distinct terms reaches the threshold, by block-max WAND.
+    def search(self, terms: list[int], start: int = 0, stop: int = 1 << 60) -> list[tuple[int, float]]:
+        """Items from start to stop whose score by the distinct terms reaches the threshold, by block-max WAND.
 
         Cursors stand at items in order. The pivot is the first item at which the lists' maxima could reach the
         threshold; if the maxima of the blocks it falls in cannot, all cursors move behind the nearest block's end.
         """
         least = self.threshold - 1e-9
-        cursors = [[self.postings[t][0][0], t, 0] for t in terms]  # item, term, place
+        cursors = []  # item, term, place
+        for t in terms:
+            ids = self.postings[t][0]
+            at = bisect_left(ids, start)
+            if at < len(ids) and ids[at] < stop:
+                cursors.append([ids[at], t, at])
         out = []
         while cursors:
             cursors.sort()
@@ -139,7 +163,7 @@ class ItemIndex:
             for c in moved:
                 ids = self.postings[c[1]][0]
                 c[2] = bisect_left(ids, target, c[2])
-                c[0] = ids[c[2]] if c[2] < len(ids) else -1
+                c[0] = ids[c[2]] if c[2] < len(ids) and ids[c[2]] < stop else -1
             cursors = [c for c in cursors if c[0] >= 0]
         return out
 
@@ -159,25 +183,44 @@ def window_starts(n: int, size: int) -> range:
     return range(0, max(1, n - half), half)
 
 
-def _query_batches(shared):
+def _hits(index: ItemIndex, texts: pa.Array, overlap: float) -> dict[tuple[int, int], tuple]:
+    """The best verified passage of every text and item: (question overlap, answer overlap, score, -first word)."""
+    best: dict[tuple[int, int], tuple] = {}
+    if index.ids:
+        distinct, codes, offsets = arrowtext.words(folded(texts))
+        for i, item, score, question, answer, first in _matches(index, 2 * index.longest, distinct.to_pylist(), codes, offsets):
+            if question >= overlap and answer >= overlap:
+                best[i, item] = max(best.get((i, item), ()), (question, answer, score, -first))
+    return best
+
+
+def _query_batches(shared, overlap: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index: ItemIndex = shared.value
+        for batch in batches:
+            for part in arrowtext.slices(batch):
+                hits = sorted(_hits(index, arrowtext.texts(part), overlap).items())
+                ids = part.column(0).take(pa.array([i for (i, _), _ in hits], pa.int64()))
+                rows = [(index.ids[item], round(h[2], 6), h[0], h[1], -h[3]) for (_, item), h in hits]
+                kinds = (pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([ids, *[pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)]], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word"])
+
+    return run
+
+
+def _clean_batches(shared, overlap: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: ItemIndex = shared.value
-        size = 2 * index.longest
         for batch in batches:
             for part in arrowtext.slices(batch):
-                rows = []
-                if index.ids:
-                    distinct, codes, offsets = arrowtext.words(folded(arrowtext.texts(part)))
-                    rows = list(_matches(index, size, part.column(0).to_pylist(), distinct.to_pylist(), codes, offsets))
-                yield pa.RecordBatch.from_arrays(
-                    [*[pa.array([r[c] for r in rows], pa.int64()) for c in range(2)], *[pa.array([r[c] for r in rows], pa.float64()) for c in range(2, 5)], pa.array([r[5] for r in rows], pa.int64())],
-                    ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word"],
-                )
+                keep = np.ones(part.num_rows, dtype=bool)
+                keep[[i for i, _ in _hits(index, arrowtext.texts(part), overlap)]] = False
+                yield part.filter(pa.array(keep))
 
     return run
 
 
-def _matches(index: ItemIndex, size: int, ids: list, distinct: list[str], codes: np.ndarray, offsets: np.ndarray):
+def _matches(index: ItemIndex, size: int, distinct: list[str], codes: np.ndarray, offsets: np.ndarray):
     normals = list(map(normal, distinct))
     term = np.fromiter((index.terms.get(w, -1) if w else -2 for w in normals), np.int64, len(normals))[codes]
     real = term != -2
@@ -202,22 +245,36 @@ def _matches(index: ItemIndex, size: int, ids: list, distinct: list[str], codes:
         head = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]])) if len(pair) else np.zeros(0, np.int64)
         if not len(head):
             continue
-        bound = np.add.reduceat(index.bounds[terms], head, axis=0).max(axis=1)
-        for k in np.flatnonzero(bound >= index.threshold - 1e-4):  # the bounds have 32 bits
+        bound = np.add.reduceat(index.bounds[terms], head, axis=0) >= index.threshold - 1e-4  # the bounds have 32 bits
+        for k in np.flatnonzero(bound.any(axis=1)):
             last = head[k + 1] if k + 1 < len(head) else len(terms)
-            v = w + int(window[head[k]])
+            v, own = w + int(window[head[k]]), terms[head[k] : last].tolist()
             passage = None
-            for item, score in index.search(terms[head[k] : last].tolist()):
-                if passage is None:
-                    passage = [normals[c] for c in codes[starts[v] : ends[v]].tolist()]
-                question, answer = index.verify(item, passage)
-                yield ids[owner[v]], index.ids[item], score, question, answer, int(starts[v] - offsets[owner[v]])
+            for start, stop in _ranges(np.flatnonzero(bound[k]).tolist()):
+                for item, score in index.search(own, index.edges[start], index.edges[stop]):
+                    if passage is None:
+                        passage = [normals[c] for c in codes[starts[v] : ends[v]].tolist()]
+                    question, answer = index.verify(item, passage)
+                    yield owner[v], item, score, question, answer, int(starts[v] - offsets[owner[v]])
+
+
+def _ranges(columns: list[int]) -> Iterator[tuple[int, int]]:
+    """Runs of adjacent columns as (first, behind the last)."""
+    at = 0
+    for k in range(1, len(columns) + 1):
+        if k == len(columns) or columns[k] != columns[k - 1] + 1:
+            yield columns[at], columns[k - 1] + 1
+            at = k
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    return only(benchmark, item_id="long", text="string").where("text is not null")
 
 
 def item_shards(benchmark: DataFrame, limit: int = SHARD_BYTES) -> Iterator[list[tuple[int, str]]]:
     """Test items in lists of at most `limit` bytes of text, streamed to the driver one list at a time."""
     held, size = [], 0
-    for r in only(benchmark, item_id="long", text="string").where("text is not null").orderBy("item_id", "text").toLocalIterator():
+    for r in _items(benchmark).orderBy("item_id", "text").toLocalIterator():
         held.append((r.item_id, r.text))
         size += len(r.text.encode())
         if size >= limit:
@@ -227,25 +284,38 @@ def item_shards(benchmark: DataFrame, limit: int = SHARD_BYTES) -> Iterator[list
         yield held
 
 
+def _indexes(benchmark: DataFrame, threshold: float, width: int) -> Iterator:
+    """Broadcast indexes of all shards, with the statistics of all items."""
+    spark = benchmark.sparkSession
+    small_batches(spark)
+    over = Statistics(r.text for r in _items(benchmark).select("text").toLocalIterator())
+    for shard in item_shards(benchmark):
+        yield spark.sparkContext.broadcast(ItemIndex(shard, threshold, width, over))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.8, width: int = 5) -> DataFrame:
-    """doc_id, item_id, score, question_overlap, answer_overlap, first_word of every document that holds a test item.
+    """doc_id, item_id, score, question_overlap, answer_overlap, first_word of every row that holds a test item; no shuffle.
 
     All pairs are reported whose BM25 share reaches `threshold` in some passage and of whose question `overlap` of
     the runs of `width` words, and as much of the answer, stand in that passage; of several passages the best.
-    Documents without a match are not listed. Null and empty texts match nothing, nor do items without words; equal
-    items are each reported; repeated rows are reported once a doc_id and item; rows without doc_id count as one
-    document; other columns are ignored.
+    Rows without a match are not listed. Null and empty texts match nothing, nor do items without words; equal
+    items, repeated rows and rows without doc_id are each reported; other columns are ignored.
 
-    Indexes are broadcast, each built over at most SHARD_BYTES of items; a larger benchmark takes one pass a shard.
+    Document frequencies, mean length and window size are of all items. Indexes are broadcast, each over at most
+    SHARD_BYTES of items; a larger benchmark takes one pass a shard, with the same scores. The driver holds the
+    frequencies of the items' words and one shard.
     """
-    spark = docs.sparkSession
     clean = only(docs, doc_id="long", text="string")
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
-    found = spark.createDataFrame([], schema)
-    for shard in item_shards(benchmark):
-        found = found.unionByName(clean.mapInArrow(_query_batches(spark.sparkContext.broadcast(ItemIndex(shard, threshold, width))), schema))
-    hits = found.where((F.col("question_overlap") >= overlap) & (F.col("answer_overlap") >= overlap))
-    best = F.max(F.struct("question_overlap", "answer_overlap", "score", (-F.col("first_word")).alias("back"))).alias("best")
-    return hits.groupBy("doc_id", "item_id").agg(best).select(
-        "doc_id", "item_id", F.round("best.score", 6).alias("score"), "best.question_overlap", "best.answer_overlap", (-F.col("best.back")).alias("first_word")
-    )
+    found = [clean.mapInArrow(_query_batches(index, overlap), schema) for index in _indexes(benchmark, threshold, width)]
+    return reduce(DataFrame.unionAll, found) if found else docs.sparkSession.createDataFrame([], schema)
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.8, width: int = 5) -> DataFrame:
+    """The rows of docs, all columns, that hold no test item in the sense of `contaminated`; no shuffle, nothing is joined.
+
+    Every row is judged by its own `text`, a string column, whatever its doc_id; null and empty texts stay.
+    """
+    for index in _indexes(benchmark, threshold, width):
+        docs = docs.mapInArrow(_clean_batches(index, overlap), docs.schema)
+    return docs
