@@ -11,13 +11,12 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import arrowtext
-from .common import only
+from .common import only, small_batches
 
 BASE_KINDS = ("assign", "access", "hex")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -106,32 +105,46 @@ def unexplained(run: str) -> list[tuple[int, int]]:
     return [*out, (at, len(run))]
 
 
-def entropy_spans(text: str) -> list[Span]:
-    """Windows of high entropy in the candidate strings of a text that no allow-list entry explains."""
+def candidates(text: str) -> list[tuple[int, str]]:
+    """Place and letters of the strings of a text that no allow-list entry explains as a whole."""
+    found = ((m.start(), m[0]) for m in CANDIDATE.finditer(text))
+    return [(at, run) for at, run in found if not (run.isalpha() or run.isdigit() or any(a.fullmatch(run) for a in ALLOWED))]
+
+
+def entropy_spans(found: list[tuple[int, str]], kind: CharClass) -> list[Span]:
+    """Windows of high entropy for a class, by start, in candidates but for what a marker explains."""
     out: list[Span] = []
-    for m in CANDIDATE.finditer(text):
-        run = m[0]
-        if run.isalpha() or run.isdigit() or any(a.fullmatch(run) for a in ALLOWED):
-            continue
-        for (low, high), kind in product(unexplained(run), CLASSES):
+    for at, run in found:
+        for low, high in unexplained(run):
             start = None
             for i in range(low, high + 1):
                 inside = i < high and run[i] in kind.letters
                 if inside and start is None:
                     start = i
                 elif not inside and start is not None:
-                    out += [(kind.kind, m.start() + start + a, m.start() + start + b) for a, b in window_runs(run[start:i], kind)]
+                    out += [(kind.kind, at + start + a, at + start + b) for a, b in window_runs(run[start:i], kind)]
                     start = None
     return out
 
 
 def secret_spans(text: str) -> list[Span]:
     """All spans by start, then kind. An entropy span inside a span of an earlier kind says nothing new and is left out."""
-    found = base_spans(text)
-    for span in entropy_spans(text):
-        if not any(a <= span[1] and span[2] <= b for _, a, b in found):
-            found.append(span)
-    return sorted(found, key=lambda s: (s[1], _ORDER[s[0]], s[2]))
+    base = base_spans(text)
+    out, held, strings = list(base), list(base), candidates(text)
+    for kind in CLASSES:
+        if not strings:
+            break
+        held.sort(key=lambda s: s[1])
+        at, reach, kept = 0, -1, []
+        for span in entropy_spans(strings, kind):
+            while at < len(held) and held[at][1] <= span[1]:
+                reach = max(reach, held[at][2])
+                at += 1
+            if span[2] > reach:
+                kept.append(span)
+        out += kept
+        held += kept
+    return sorted(out, key=lambda s: (s[1], _ORDER[s[0]], s[2]))
 
 
 def redacted(text: str, spans: list[Span], mark: str = "[SECRET]") -> str:
@@ -166,6 +179,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     A null or empty text has no spans (the digest is that of the empty string); a null doc_id stays null;
     repeated rows are each scanned; other columns are ignored whatever their names.
     """
+    small_batches(docs.sparkSession)
     return only(docs, doc_id="long", text="string").mapInArrow(
         _scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_entropy long"
     )
@@ -174,12 +188,13 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 def _redact(text_at: int, chars_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [None if t is None else redacted(t, secret_spans(t)) for t in batch.column(text_at).to_pylist()]
-            columns = list(batch.columns)
-            columns[text_at] = pa.array(out, batch.schema.field(text_at).type)
-            if chars_at >= 0:
-                columns[chars_at] = pa.array([n if t is None else len(t) for t, n in zip(out, columns[chars_at].to_pylist())], batch.schema.field(chars_at).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            for part in arrowtext.slices(batch, batch.schema.names[text_at]):
+                out = [None if t is None else redacted(t, secret_spans(t)) for t in part.column(text_at).to_pylist()]
+                columns = list(part.columns)
+                columns[text_at] = pa.array(out, part.schema.field(text_at).type)
+                if chars_at >= 0:
+                    columns[chars_at] = pa.array([n if t is None else len(t) for t, n in zip(out, columns[chars_at].to_pylist())], part.schema.field(chars_at).type)
+                yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
 
     return run
 
@@ -189,5 +204,6 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
 
     A null text stays null and keeps its n_chars; an empty text stays empty.
     """
+    small_batches(docs.sparkSession)
     names = docs.columns
     return docs.mapInArrow(_redact(names.index("text"), names.index("n_chars") if "n_chars" in names else -1), docs.schema)
