@@ -149,11 +149,15 @@ def stream_cusum(spark, sf_dir):
     return detector.drained(detector.stream_detector(_event_stream(spark, sf_dir), size=d.SIZE, head=d.HEAD), _folder(spark))
 
 
+def stream_cusum_trailing(spark, sf_dir):
+    return detector.drained(detector.stream_detector(_event_stream(spark, sf_dir), size=d.SIZE, trailing=(30, 10)), _folder(spark))
+
+
 def stream_vwap(spark, sf_dir):
     return detector.drained(detector.stream_vwap(_event_stream(spark, sf_dir)), _folder(spark))
 
 
-QUERIES = {f.__name__: f for f in (overlap_windows, dedup_spans, placebo_spans, exposure, lead_lag, vwap_6h, vwap_15m, hourly_volume_filled, lorenz_curve, pre_post_imbalance, baseline_params, fit_parameters, null_l0, null_l1, null_l2, null_gate, inject_tilt, inject_size, inject_wallet, inject_additive, scenario_grid, stream_cusum, stream_vwap)}
+QUERIES = {f.__name__: f for f in (overlap_windows, dedup_spans, placebo_spans, exposure, lead_lag, vwap_6h, vwap_15m, hourly_volume_filled, lorenz_curve, pre_post_imbalance, baseline_params, fit_parameters, null_l0, null_l1, null_l2, null_gate, inject_tilt, inject_size, inject_wallet, inject_additive, scenario_grid, stream_cusum, stream_cusum_trailing, stream_vwap)}
 
 part("s_bounds", "SELECT condition_id, bucket_index, start_ts, end_ts FROM t_plain")
 part("s_intervals", "SELECT w.window_id, w.condition_id AS source, w.direction, min(b.start_ts) AS lo, max(b.end_ts) AS hi FROM a_windows w JOIN s_bounds b ON b.condition_id = w.condition_id AND b.bucket_index BETWEEN w.onset_bucket AND w.alarm_bucket GROUP BY 1, 2, 3")
@@ -216,6 +220,8 @@ SELECT window_id, condition_id, source_first, source_last, first_bucket, last_bu
     "lorenz_curve": query(f"SELECT condition_id, active_wallet, place, {grid('CAST(run AS DOUBLE) / CAST(total AS DOUBLE)')} AS share FROM (SELECT *, row_number() OVER w AS place, sum(shares) OVER (PARTITION BY condition_id ORDER BY shares DESC, active_wallet ROWS UNBOUNDED PRECEDING) AS run, sum(shares) OVER (PARTITION BY condition_id) AS total FROM (SELECT condition_id, active_wallet, sum(shares) AS shares FROM t_grid GROUP BY 1, 2) WINDOW w AS (PARTITION BY condition_id ORDER BY shares DESC, active_wallet))"),
     "pre_post_imbalance": query(f"SELECT window_id, {grid('before')} AS before, {grid('inside')} AS inside FROM (SELECT w.window_id, CAST(sum(CASE WHEN b.bucket_index < w.onset_bucket THEN signed END) AS DOUBLE) / CAST(nullif(sum(CASE WHEN b.bucket_index < w.onset_bucket THEN abs(signed) END), 0) AS DOUBLE) AS before, CAST(sum(CASE WHEN b.bucket_index >= w.onset_bucket THEN signed END) AS DOUBLE) / CAST(nullif(sum(CASE WHEN b.bucket_index >= w.onset_bucket THEN abs(signed) END), 0) AS DOUBLE) AS inside FROM t_bucketed b JOIN a_windows w ON b.condition_id = w.condition_id AND b.bucket_index <= w.alarm_bucket GROUP BY 1)"),
     "baseline_params": query("SELECT g.condition_id, c.fit_until, count(*) AS n_fit, count(DISTINCT active_wallet) AS n_wallets, count_if(signed > 0) AS n_long, CAST(sum(shares) AS BIGINT) AS shares FROM t_grid g JOIN (SELECT condition_id, min(timestamp) + CAST(floor((max(timestamp) - min(timestamp)) * 7 / 10) AS BIGINT) AS fit_until FROM t_grid GROUP BY 1) c ON g.condition_id = c.condition_id AND g.timestamp <= c.fit_until GROUP BY 1, 2"),
+    "stream_cusum": query("SELECT b.condition_id, b.bucket_index, p.end_ts, s.x, s.z, CAST(b.w AS BIGINT) AS statistic, b.side AS direction, b.onset, b.w >= 16000000 AS alarmed, coalesce(b.bucket_index = r.alarm_bucket, false) AS first_alarm, CAST(0 AS BIGINT) AS n_late FROM t_best b JOIN t_standard s ON s.condition_id = b.condition_id AND s.channel = b.channel AND s.bucket_index = b.bucket_index JOIN t_plain p ON p.condition_id = b.condition_id AND p.bucket_index = b.bucket_index JOIN t_runs r ON r.condition_id = b.condition_id AND r.channel = b.channel WHERE b.channel = 'imbalance' AND p.n_trades = 20"),
+    "stream_cusum_trailing": query("SELECT b.condition_id, b.bucket_index, p.end_ts, s.x, s.z, CAST(b.w AS BIGINT) AS statistic, b.side AS direction, b.onset, b.w >= 16000000 AS alarmed, coalesce(b.bucket_index = r.alarm_bucket, false) AS first_alarm, CAST(0 AS BIGINT) AS n_late FROM a_trail_best b JOIN t_trailing_z s ON s.condition_id = b.condition_id AND s.channel = b.channel AND s.bucket_index = b.bucket_index JOIN t_plain p ON p.condition_id = b.condition_id AND p.bucket_index = b.bucket_index JOIN a_trail_runs r ON r.condition_id = b.condition_id AND r.channel = b.channel WHERE b.channel = 'imbalance' AND p.n_trades = 20"),
     "fit_parameters": query("SELECT p.condition_id, fit_rows, holdout_rows, shares_max, n_wallets, CAST(price_init * 2 AS BIGINT) AS price_init, " + ", ".join(f"{grid(c)} AS {c}" for c in ("rate", "p_long", "log_mu", "log_sigma", "p_round", "price_sigma", "top10_share", "top100_share", "top1000_share")) + " FROM s_params p JOIN s_busiest b USING (condition_id)"),
     "null_l0": query(_null("L0")),
     "null_l1": query(_null("L1")),
