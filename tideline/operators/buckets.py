@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.expr import clip, micro, ratio
 
@@ -10,7 +10,7 @@ SLICE_SECONDS = 6 * 3600
 CHANNELS = ("imbalance", "imbalance_winsor", "imbalance_cash", "wallet_hhi")
 
 
-def assign_buckets(trades: DataFrame, size: int, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+def assign_buckets(trades: DataFrame, size: int | Column, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """Adds bucket_index = (place in the contract's total order by timestamp and hash) // size; the last bucket may be short.
 
     The place is the rows of earlier time slices plus the place within the slice, so that a contract with a third of

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.expr import joined_key
@@ -59,3 +61,19 @@ def alpha_grid(maxima: DataFrame, low: float, high: float, points: int = 41) ->
     levels = spark.range(points).select("id", F.floor(F.lit(low * unit) + F.col("id") * ((high - low) * unit / (points - 1)) + 0.5).cast("long").alias("h"))
     counted = maxima.select("max_stat").crossJoin(F.broadcast(levels))  # 41 literals
     return counted.groupBy("h").agg(F.count_if(F.col("max_stat") >= F.col("h")).alias("n_reached"), F.count(F.lit(1)).alias("n_maxima"))
+
+
+def refuse_degenerate(maxima: DataFrame) -> DataFrame:
+    """Maxima of paths that move; one that doesn't ends the query, since its threshold would be met by anything."""
+    return maxima.withColumn("max_stat", F.when(F.col("degenerate") | F.col("max_stat").isNull(), F.raise_error(F.concat(F.lit("degenerate null path: "), F.col("condition_id"))).cast("long")).otherwise(F.col("max_stat")))
+
+
+def raw_largest_statistics(rows: DataFrame, standardizer: Callable[[DataFrame], DataFrame], config: WalkConfig, replicates: int = 20, block: int = 10) -> DataFrame:
+    """Largest walk of replicates whose raw values are drawn first and standardized each by its own baseline.
+
+    `rows` has condition_id, bucket_index and x of one channel; the standardizer takes and returns rows as `baseline` has them.
+    """
+    drawn = block_bootstrap(rows.select("condition_id", "bucket_index", F.col("x").alias("z")), replicates, block)
+    paths = drawn.select("condition_id", F.col("replicate").cast("string").alias("channel"), F.col("position").alias("bucket_index"), F.col("z").alias("x"))
+    most = reflected_walk(standardizer(paths).select("condition_id", "channel", "bucket_index", "z"), config).groupBy("condition_id", "channel").agg(F.max("w").alias("max_stat"))
+    return most.select("condition_id", F.col("channel").cast("int").alias("replicate"), "max_stat")

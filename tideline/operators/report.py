@@ -36,3 +36,14 @@ def pre_post(bucketed: DataFrame, windows: DataFrame) -> DataFrame:
     side = lambda flag, c: F.sum(F.when(F.col("inside") == flag, c))
     size = F.abs("signed")
     return rows.groupBy("window_id").agg(ratio(side(False, F.col("signed")), side(False, size)).alias("before"), ratio(side(True, F.col("signed")), side(True, size)).alias("inside"))
+
+
+def crosscheck(sample: DataFrame, trades: DataFrame, seconds: int) -> DataFrame:
+    """On the contract with most trades of the sample, the sample's VWAP beside the table's, by interval.
+
+    Ties of the count go to the smaller name.
+    """
+    counts = sample.groupBy("condition_id").agg(F.count(F.lit(1)).alias("n"))
+    busiest = counts.orderBy(F.desc("n"), "condition_id").limit(1).select("condition_id")
+    one = lambda df, name: vwap(df.join(F.broadcast(busiest), "condition_id", "left_semi"), seconds).select("condition_id", "start_ts", F.col("vwap").alias(name))
+    return one(trades, "vwap_all").join(one(sample, "vwap_sample"), ["condition_id", "start_ts"], "left").withColumn("gap", F.col("vwap_sample") - F.col("vwap_all"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import attribution, detection, evaluation, full, gating, inference, studies, transferred
+from . import attribution, checks, detection, evaluation, full, gating, inference, studies, transferred
 
-MODULES = (detection, attribution, inference, studies, evaluation, gating, transferred)
+MODULES = (detection, attribution, inference, studies, evaluation, gating, transferred, checks)
 QUERIES = {name: f for m in (*MODULES, full) for name, f in m.QUERIES.items()}
 ORACLE = {name: text for m in MODULES for name, text in m.ORACLE.items()}
