@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import arrowtext
-from .common import fresh, only
+from .common import fresh, only, small_batches
 
 LONGEST = 5
 UNKNOWN = "und"
@@ -238,11 +238,13 @@ def train(docs: DataFrame, sample_docs: int = 1000, least_seen: int = 3) -> Mode
     depends on the sample alone. Documents with null text, lang or id are not trained on. With no document to learn
     from, the model knows no language.
     """
+    small_batches(docs.sparkSession)
     order = F.xxhash64("doc_id")
     usable = only(docs, doc_id="long", text="string", lang="string").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).withColumn("h", order)
     first = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    # One row a language, as the model itself has one column a language.
     last = usable.select("lang", "h").withColumn("rank", first).where(F.col("rank") <= sample_docs).groupBy("lang").agg(F.max("h").alias("last"))
-    sample = usable.join(last, "lang").where((F.col("h") <= F.col("last")) & F.col("text").isNotNull())
+    sample = usable.join(F.broadcast(last), "lang").where((F.col("h") <= F.col("last")) & F.col("text").isNotNull())
     counts = sample.select("lang", "text").mapInArrow(_count_batches, "lang string, kind int, unit long, n long").groupBy("lang", "kind", "unit").agg(F.sum("n").alias("n"))
     return fitted(counts.toArrow(), least_seen)
 
@@ -290,6 +292,7 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
     each predicted; columns not in `keep` are ignored whatever their names; `names` must not be among `keep`. A text
     column that is kept is sent once. The model is broadcast: its size is bounded by the training sample.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     sent_once = "text" in keep and dict(docs.dtypes)["text"] == "string"
     chosen = docs.select(*keep) if sent_once else docs.select(*keep, F.col("text").cast("string").alias(fresh(keep, "text")))
