@@ -7,10 +7,10 @@ read again. All but the last return the columns of documents.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideline.llm.common import stage, table
-from tideline.llm.decontaminate import contaminated
+from tideline.llm.common import fresh, small, stage, table
+from tideline.llm.decontaminate import uncontaminated
 from tideline.llm.langid import UNKNOWN, identify, train
 from tideline.llm.near_dups import near_duplicates
 from tideline.llm.pieces import encode_pieces
@@ -21,34 +21,35 @@ LEAST_SCORE = 0.5
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents without a letter, or in no language to at least LEAST_SCORE, go."""
-    told = identify(docs, train(docs), keep=tuple(docs.columns), names=("__lang_pred", "__lang_score"))
-    return told.where((F.col("__lang_pred") != UNKNOWN) & (F.col("__lang_score") >= LEAST_SCORE)).select(*docs.columns)
-
-
-def keyed(docs: DataFrame) -> DataFrame:
-    """With __key, a 64-bit digest of doc_id and text: rows of one doc_id and unlike texts are rows of their own."""
-    return docs.withColumn("__key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.col("text").isNull(), "text"))
+    names = (fresh(docs.columns, "lang_pred"), fresh(docs.columns, "lang_score"))
+    told = identify(docs, train(docs), keep=tuple(docs.columns), names=names)
+    return told.where((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= LEAST_SCORE)).select(*docs.columns)
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-dedup, five words and 0.8: of each group the row of least doc_id, then key, stays, of repeated rows one.
+    """MinHash near-dedup, five words and 0.8: of each group one row of least doc_id stays, of equal rows one.
 
-    Rows without doc_id belong to no group and stay.
+    A row is known by its doc_id and a digest of its text, so that rows of one doc_id and unlike texts are judged each
+    by its own. Rows without doc_id belong to no group and stay. What goes is few beside what stays: keys that go are
+    taken out of docs by an anti join, broadcast as long as it is small, and only rows that are repeated word for word
+    are grouped.
     """
-    named = stage(keyed(docs.where(F.col("doc_id").isNotNull())), "keyed")
-    found = near_duplicates(named.select(F.col("__key").alias("doc_id"), "text"), width=5, percent=80)
-    place = named.select("__key", "doc_id").join(found.select(F.col("doc_id").alias("__key"), "component_id").distinct(), "__key")
-    stays = place.groupBy("component_id").agg(F.min(F.struct("doc_id", "__key"))["__key"].alias("__key"))
-    first = Window.partitionBy("__key").orderBy("doc_id")
-    one = named.join(stays.select("__key"), "__key", "left_semi").withColumn("__row", F.row_number().over(first)).where(F.col("__row") == 1)
-    return one.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    mark = fresh([*docs.columns, "doc_id", "n_shingles", "component_id", "kept", "component_tag", "n"], "mark")
+    named = docs.withColumn(mark, F.xxhash64(F.col("text").isNull(), "text"))
+    key = ["doc_id", mark]
+    found = stage(near_duplicates(named.where(F.col("doc_id").isNotNull()), width=5, percent=80, keep=(mark,)).groupBy(*key, "n_shingles", "kept", "component_tag").count(), "found")
+    firsts = found.where(F.col("kept") & (F.col("n_shingles") > 0)).groupBy("doc_id", "component_tag").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).where("low <> high")
+    beaten = found.where("kept").join(firsts, ["doc_id", "component_tag"]).where(F.col(mark) != F.col("low"))
+    gone = stage(found.where(~F.col("kept")).select(*key).unionByName(beaten.select(*key)), "gone")
+    repeated = stage(found.where("count > 1").select(*key).join(gone, key, "left_anti"), "repeated")
+    once = named.join(small(gone), key, "left_anti").join(small(repeated), key, "left_anti")
+    one_each = named.join(small(repeated), key, "left_semi").dropDuplicates(key)
+    return once.unionByName(one_each).select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: rows that hold a test item go, with and without doc_id."""
-    rows = keyed(docs)
-    found = contaminated(rows.select(F.col("__key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    return rows.join(found.select(F.col("doc_id").alias("__key")).distinct(), "__key", "left_anti").select(*docs.columns)
+    return uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
