@@ -1,37 +1,74 @@
 import random
+import re
+from collections import defaultdict
 
 import numpy as np
-import pyarrow as pa
+import pytest
 
 from tideline.llm import chunks as C
+from tideline.llm.queries import op9_substring_dedup
 
 
-def array(*texts):
-    return pa.array(texts, pa.large_string())
+def split(*texts):
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)])
+    return data, offsets, *C.words(data, offsets)
 
 
-def test_gear_hash_by_hand_and_cover():
+def test_gear_hash_and_cuts_by_hand():
     rng = random.Random(1)
-    texts = ["".join(rng.choice("abcdefgh ,.") for _ in range(n)) for n in (0, 5, 700, 16, 3000)]
-    data = np.frombuffer("".join(texts).encode(), np.uint8)
-    offsets = np.cumsum([0, *map(len, texts)])
-    want = set()
-    for a, b in zip(offsets, offsets[1:]):
-        for i in range(a + 15, b):
-            h = sum(int(C._GEAR[data[i - k]]) << k for k in range(16)) & 0xFFFF
-            if h >> 12 == 0:
-                want.add(i + 1)
-    got = set(C.cuts(data, offsets).tolist())
-    assert got - set(offsets.tolist()) <= want and set(offsets[1:].tolist()) <= got
-    digests, sizes, words, count = C.chunked(array(*texts))
-    assert sizes.sum() == len(data) and len(digests) == count.sum() and words.sum() == sum(len(t.split()) for t in texts)
-    assert [int(sizes[a:b].sum()) for a, b in zip(np.cumsum([0, *count]), np.cumsum(count))] == [len(t) for t in texts]
+    texts = ["".join(rng.choice("abcdefgh ,. ") for _ in range(n)) for n in (0, 5, 700, 16, 3000)] + ["no " * 40]
+    data, offsets, starts, ends, text = split(*texts)
+    h = C.gear(data)
+    for i in range(15, len(data)):
+        assert h[i] == sum(int(C._GEAR[data[i - k]]) << k for k in range(16)) & 0xFFFF
+    hashes, want = h[ends - 1].tolist(), set()
+    for j in range(len(ends) - C.CUT_WORDS + 1):
+        run = range(j, j + C.CUT_WORDS)
+        if text[run[0]] == text[run[-1]]:
+            want.add(min(run, key=lambda i: (hashes[i], -i)))
+    assert C.cuts(h[ends - 1], text).tolist() == sorted(want)
+    first, last, key = C.chunk_pairs(data, ends, text)
+    assert len(key) > 50 and all(0 < b - a < 2 * C.CUT_WORDS and text[a] == text[b] for a, b in zip(first, last))
 
 
 def test_insertions_move_no_distant_cut():
     text = "".join(random.Random(2).choices("abcdefghij ", k=5000))
-    a, b = (set(C.chunked(array(t))[0].tolist()) for t in (text, text[:900] + "inserted" + text[900:]))
-    assert len(a & b) > 0.95 * len(a)
+    a, b = (set(C.chunk_pairs(d, e, t)[2].tolist()) for d, _, _, e, t in map(split, (text, text[:900] + "inserted" + text[900:])))
+    assert len(a & b) > 0.9 * len(a)
+
+
+def plain_spans(docs, least):
+    """Every window of words, byte for byte, against every other document's."""
+    windows, holders = {}, defaultdict(set)
+    for n, (_, t) in enumerate(docs):
+        raw = (t or "").encode()
+        words = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+        windows[n] = [(i, raw[words[i][0] : words[i + least - 1][1]]) for i in range(len(words) - least + 1)], words
+        for _, w in windows[n][0]:
+            holders[w].add(n)
+    out = []
+    for n, (doc_id, _) in enumerate(docs):
+        spans, words = [], windows[n][1]
+        for i, w in windows[n][0]:
+            if len(holders[w]) > 1:
+                if spans and i <= spans[-1][1] + 1:
+                    spans[-1][1] = i + least - 1
+                else:
+                    spans.append([i, i + least - 1])
+        if spans:
+            out.append((doc_id, len(spans), sum(b - a + 1 for a, b in spans), ",".join(f"{words[a][0]}:{words[b][1]}" for a, b in spans)))
+    return sorted(out, key=str)
+
+
+def test_query_equals_brute_force(spark, sf_dir):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    got = sorted(((r.doc_id, r.n_spans, r.n_words, r.spans) for r in op9_substring_dedup(spark, sf_dir).collect()), key=str)
+    assert len(got) > 20 and got == plain_spans(docs, 50)
+
+
+def test_shorter_passages_are_refused(spark):
+    with pytest.raises(ValueError):
+        C.repeated_passages(spark.createDataFrame([(1, "x")], "doc_id long, text string"), 49)
 
 
 def sentence(seed, n):
@@ -85,9 +122,9 @@ def test_every_passage_of_51_words_is_found_with_exact_ends_whatever_its_bytes(s
 def test_windows_equal_brute_force():
     rng = random.Random(9)
     texts = ["".join(rng.choice("ab \t") for _ in range(n)) for n in (0, 40, 3, 0, 200, 1, 500)]
-    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
+    data, _, starts, ends, text = split(*texts)
     for least in (1, 2, 3, 5, 8, 13):
-        starts, ends, text, place, key = C.windows(data, offsets, least)
+        place, key = C.windows(data, starts, ends, text, least)
         whole = "".join(texts)
         assert [whole[a:b] for a, b in zip(starts, ends)] == [w for t in texts for w in t.split()]
         assert len(place) == sum(max(0, len(t.split()) - least + 1) for t in texts)

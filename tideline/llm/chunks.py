@@ -1,9 +1,11 @@
-"""Substring deduplication by windows of words.
-
-Every run of as many words as a passage has at least gets a digest from a rolling hash, so that a passage repeats
-where a window's digest is found in more than one document, and its ends are exact to the word. Each batch of
-documents asks about each of its digests once, whatever number of its documents hold it, and is told which of them
-repeat. The gear hash that cuts a text into content-defined chunks is kept as a tool; no query uses it.
+"""Substring deduplication by content-defined chunks, with exact ends.
+
+A gear hash of the last 16 bytes is read at the end of every word; of every 8 words in a row the one with the least
+hash ends a chunk. So cuts depend on what stands near them and on nothing else, chunks are 8 words long at most, and an
+insertion shifts none but those it touches: a passage of 50 words always holds two chunks in a row that are cut alike
+wherever it stands. Digests of such pairs are deduplicated over all documents, each batch of documents asking about each
+of its digests once. Around pairs that several documents hold, windows of as many words as a passage has at least are
+deduplicated in the same way; they give the passages' ends to the word.
 """
 
 from __future__ import annotations
@@ -13,15 +15,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import arrowtext
-from .common import only, stage
+from .common import only, small_batches, stage
 
-CUT_BITS = 4  # a cut at one byte of 16
-LEAST = 8  # a cut closer than this behind another is none
+CUT_WORDS = 8  # of so many words in a row the one of least hash ends a chunk; a power of two
+MARGIN = 24  # words that a passage can reach over its first or last certain pair: 16 bytes of other context, and twice CUT_WORDS
+LEAST_WORDS = 50  # passages shorter than that may hold no certain pair
 BUCKET_KEYS = 2_000_000
 _GEAR = np.frombuffer(b"".join(hashlib.blake2b(bytes([b]), digest_size=2).digest() for b in range(256)), "<u2")
 _MIX, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -30,43 +32,25 @@ _BASE, _INVERSE = np.uint64(0xF1357AEA2E62A9C5), np.uint64(pow(0xF1357AEA2E62A9C
 _POWERS = [np.ones(0, np.uint64), np.ones(0, np.uint64)]
 
 
-def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Ends of the chunks of texts that stand one after the other in data; every text's end is one.
-
-    The gear hash h = sum of gear[byte k back] << k in 16 bits has forgotten what lies 16 bytes back; it is built
-    by doubling. A cut is where its upper CUT_BITS bits are zero, 16 bytes and more from the text's start.
-    """
+def gear(data: np.ndarray) -> np.ndarray:
+    """The gear hash after every byte: the sum of gear[byte k back] << k in 16 bits, which has forgotten what lies 16
+    bytes back; built by doubling."""
     h = _GEAR[data]
     for step in (1, 2, 4, 8):
         moved = h[:-step] << np.uint16(step)
         h[step:] = h[step:] + moved
-    marks = np.flatnonzero(h >> np.uint16(16 - CUT_BITS) == 0) + 1
-    if len(marks):
-        marks = marks[np.concatenate([[True], np.diff(marks) >= LEAST])]
-        text = np.searchsorted(offsets, marks, side="right") - 1
-        marks = marks[marks - offsets[np.minimum(text, len(offsets) - 1)] >= 16]
-    return np.unique(np.concatenate([marks, offsets[1:]]))
-
-
-def chunked(values: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Digests of all chunks, their sizes in bytes and in words begun, and the number of chunks of each text."""
-    raw = values.buffers()[2]
-    offsets = np.frombuffer(values.buffers()[1], dtype=np.int64)[values.offset : values.offset + len(values) + 1]
-    data = np.frombuffer(raw, dtype=np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
-    offsets = offsets - offsets[0]
-    ends = cuts(data, offsets) if len(data) else np.zeros(0, np.int64)
-    ends = ends[ends > 0]
-    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    view = memoryview(data)
-    digest = xxhash.xxh3_64_intdigest
-    digests = np.fromiter((digest(view[a:b]) for a, b in zip(starts.tolist(), ends.tolist())), np.uint64, len(ends))
-    blank = (data == 32) | ((data >= 9) & (data <= 13))
-    begun = ~blank
-    begun[1:] &= blank[:-1]
-    begun[offsets[:-1][offsets[:-1] < len(data)]] |= ~blank[offsets[:-1][offsets[:-1] < len(data)]]
-    total = np.concatenate([[0], np.cumsum(begun)])
-    count = np.diff(np.searchsorted(ends, offsets, side="right"))
-    return digests, ends - starts, total[ends] - total[starts], count
+    return h
+
+
+def cuts(hashes: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """The words that end a chunk: in each run of CUT_WORDS words of a text the last of those with the least hash."""
+    n = len(hashes)
+    least = (hashes.astype(np.int64) << 40) | (n - np.arange(n))
+    for k in range(CUT_WORDS.bit_length() - 1):
+        step = 1 << k
+        least = np.minimum(least[:-step], least[step:]) if len(least) > step else least[:0]
+    inside = text[: len(least)] == text[CUT_WORDS - 1 :] if len(least) else np.zeros(0, bool)
+    return np.unique(n - (least[inside] & ((1 << 40) - 1)))
 
 
 def _joint(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -82,18 +66,33 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def windows(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all words of texts that stand one after the other in data: starts, ends and text; and of every `least` words of
-    one text in a row, with the white space between them: the place of the first and their digest.
-    """
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and text of all words of texts that stand one after the other in data."""
     blank = np.concatenate([[True], (data == 32) | ((data >= 9) & (data <= 13)), [True]])
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     starts = np.flatnonzero(~blank[1:-1] & (blank[:-2] | edge[:-1]))
     ends = np.flatnonzero(~blank[1:-1] & (blank[2:] | edge[1:])) + 1
-    text = np.searchsorted(offsets, starts, side="right") - 1
+    return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
+
+
+def chunk_pairs(data: np.ndarray, ends: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every two chunks of a text in a row: the first word, the last word, and the digest of both in order."""
+    at = cuts(gear(data)[ends - 1], text) if len(ends) else np.zeros(0, np.int64)
+    if len(at) < 3:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    up, down = _powers(len(data) + 1)
+    total = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[data] * up[: len(data)], dtype=np.uint64)])
+    end = ends[at]
+    chunk = _joint((total[end[1:]] - total[end[:-1]]) * down[end[:-1]], (end[1:] - end[:-1]).astype(np.uint64))
+    one = np.flatnonzero(text[at[:-2]] == text[at[2:]])
+    return at[one] + 1, at[one + 2], _joint(chunk[one], chunk[one + 1])
+
+
+def windows(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of every `least` words of one text in a row, with the white space between them: the place of the first and their digest."""
     if len(starts) < least:
-        return starts, ends, text, np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     up, down = _powers(len(data) + 1)
     total = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[data] * up[: len(data)], dtype=np.uint64)])
     bare = _joint((total[ends] - total[starts]) * down[starts], (ends - starts).astype(np.uint64))
@@ -112,7 +111,25 @@ def windows(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarr
     n = len(starts) - least + 1
     key = bare if run is None else _joint(run[:n], bare[least - 1 :])
     place = np.flatnonzero(text[:n] == text[least - 1 :])
-    return starts, ends, text, place, key[place]
+    return place, key[place]
+
+
+def near(first: np.ndarray, last: np.ndarray, place: np.ndarray, least: int, n: int) -> np.ndarray:
+    """Which windows lie whole within MARGIN words of the pairs given by their first and last words."""
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, np.maximum(first - MARGIN, 0), 1)
+    np.add.at(edge, np.minimum(last + 1 + MARGIN, n), -1)
+    outside = np.concatenate([[0], np.cumsum(np.cumsum(edge)[:n] <= 0)])
+    return outside[place + least] == outside[place]
+
+
+def known(keys: np.ndarray, found: list[bytes]) -> np.ndarray:
+    """Which keys are among those found."""
+    told = np.sort(np.concatenate([np.frombuffer(f, "<u8") for f in found])) if found else np.zeros(0, np.uint64)
+    if not len(told):
+        return np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(told, keys), len(told) - 1)
+    return told[at] == keys
 
 
 # --- the exchange -------------------------------------------------------------------------------------------
@@ -138,34 +155,58 @@ def _text_batches():
     return run
 
 
-def _ask_batches(buckets: int, least: int):
-    """Each group's distinct keys by bucket, with a bit for those that two of its own documents hold."""
+def _asked(grp: str, key: np.ndarray, text: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """A group's distinct keys by bucket, with a bit for those that two of its own documents hold."""
+    order = np.lexsort((text, key))
+    key, text = key[order], text[order]
+    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    last = np.append(head[1:], len(key)) - 1
+    several = text[head] != text[last]
+    key = key[head]
+    bucket = (key >> np.uint64(40)).astype(np.int64) % buckets
+    order = np.argsort(bucket, kind="stable")
+    key, several, bucket = key[order], several[order], bucket[order]
+    edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(key) else np.zeros(0, np.int64)
+    ends = np.append(edge[1:], len(key))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(bucket[edge].astype(np.int32)),
+            pa.array([grp] * len(edge), pa.string()),
+            pa.array([key[a:b].tobytes() for a, b in zip(edge, ends)], pa.binary()),
+            pa.array([several[a:b].tobytes() for a, b in zip(edge, ends)], pa.binary()),
+        ],
+        ["bucket", "grp", "keys", "several"],
+    )
+
+
+def _group(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    data, offsets = np.frombuffer(row["data"], np.uint8), np.frombuffer(row["offsets"], "<i8")
+    return data, offsets, *words(data, offsets)
+
+
+def _ask_pairs(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                data, _, _, ends, text = _group(row)
+                first, _, key = chunk_pairs(data, ends, text)
+                yield _asked(row["grp"], key, text[first], buckets)
+
+    return run
+
+
+def _ask_windows(buckets: int, least: int):
+    """Windows around the pairs of which it was found that several documents hold them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                _, _, text, place, key = windows(np.frombuffer(row["data"], np.uint8), np.frombuffer(row["offsets"], "<i8"), least)
-                text = text[place]
-                order = np.argsort(key, kind="stable")  # texts stay in order
-                key, text = key[order], text[order]
-                head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-                last = np.append(head[1:], len(key)) - 1
-                several = text[head] != text[last]
-                key = key[head]
-                bucket = (key >> np.uint64(40)).astype(np.int64) % buckets
-                order = np.argsort(bucket, kind="stable")
-                key, several, bucket = key[order], several[order], bucket[order]
-                edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(key) else np.zeros(0, np.int64)
-                ends = np.append(edge[1:], len(key))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(bucket[edge].astype(np.int32)),
-                        pa.array([row["grp"]] * len(edge)),
-                        pa.array([key[a:b].tobytes() for a, b in zip(edge, ends)], pa.binary()),
-                        pa.array([several[a:b].tobytes() for a, b in zip(edge, ends)], pa.binary()),
-                    ],
-                    ["bucket", "grp", "keys", "several"],
-                )
+                data, _, starts, ends, text = _group(row)
+                first, last, pair = chunk_pairs(data, ends, text)
+                held = known(pair, row["found"])
+                place, key = windows(data, starts, ends, text, least)
+                close = near(first[held], last[held], place, least, len(starts))
+                yield _asked(row["grp"], key[close], text[place[close]], buckets)
 
     return run
 
@@ -200,11 +241,9 @@ def _span_batches(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                offsets = np.frombuffer(row["offsets"], "<i8")
-                starts, ends, text, place, key = windows(np.frombuffer(row["data"], np.uint8), offsets, least)
-                found = np.sort(np.concatenate([np.frombuffer(f, "<u8") for f in row["found"]]))
-                at = np.minimum(np.searchsorted(found, key), len(found) - 1)
-                hit = place[found[at] == key]
+                data, offsets, starts, ends, text = _group(row)
+                place, key = windows(data, starts, ends, text, least)
+                hit = place[known(key, row["found"])]
                 covered = np.zeros(len(starts) + 1, np.int64)
                 np.add.at(covered, hit, 1)
                 np.add.at(covered, hit + least, -1)
@@ -231,15 +270,24 @@ def repeated_passages(docs: DataFrame, least_words: int = 50) -> DataFrame:
     one are not. What repeats within one document alone is no repetition. Null and empty texts have no passages;
     repeated rows repeat each other if they are long enough; a null doc_id is listed as null; other columns are ignored.
 
-    Digests have 64 bits: that two of 10^9 unlike windows agree has a chance of about 3 %. Memory: a group of documents
+    Candidates are found by chunks, ends by windows (see above). Digests have 64 bits: that two of 10^9 unlike windows agree has a chance of about 3 %. Memory: a group of documents
     of 4 MB, or a bucket of about BUCKET_KEYS keys, at a time; a digest of a third of all documents is one key of each
     group.
     """
+    if least_words < LEAST_WORDS:
+        raise ValueError(f"passages of fewer than {LEAST_WORDS} words may hold no pair of chunks that is cut alike everywhere")
     spark = docs.sparkSession
+    small_batches(spark)
     staged = stage(only(docs, doc_id="long", text="string").mapInArrow(_text_batches(), STAGED), "texts")
     keys = staged.agg(F.sum("windows")).collect()[0][0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), keys // BUCKET_KEYS + 1)
-    asked = staged.select("data", "offsets", "grp").mapInArrow(_ask_batches(buckets, least_words), "bucket int, grp string, keys binary, several binary")
-    found = asked.repartitionById(buckets, F.col("bucket")).mapInArrow(_answer_batches, "grp string, found binary")
-    answers = found.groupBy("grp").agg(F.collect_list("found").alias("found"))
+    asks = "bucket int, grp string, keys binary, several binary"
+
+    def answered(asked: DataFrame) -> DataFrame:
+        found = asked.repartitionById(buckets, F.col("bucket")).mapInArrow(_answer_batches, "grp string, found binary")
+        return stage(found.groupBy("grp").agg(F.collect_list("found").alias("found")), "answers")
+
+    texts = staged.select("data", "offsets", "grp")
+    pairs = answered(texts.mapInArrow(_ask_pairs(buckets), asks))
+    answers = answered(texts.join(pairs, "grp").mapInArrow(_ask_windows(buckets, least_words), asks))
     return staged.join(answers, "grp").select("ids", "data", "offsets", "found").mapInArrow(_span_batches(least_words), "doc_id long, n_spans long, n_words long, n_bytes long, spans string")
