@@ -9,6 +9,7 @@ the stored distances and the triangle inequality already rule it out. Scores are
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,9 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import stage, stored_bytes
+from .common import small_batches, stage, stored_bytes
 
-PAGE = 64  # entries of a node
+PAGE = 256  # entries of a node
 SHARD_ROWS = 8192
 BLOCK_ROWS = 1024
 BROADCAST_BYTES = 32 << 20
@@ -73,8 +74,12 @@ class MTree:
         upward = self._distances(routing, self.points[parent]) if parent is not None else np.zeros(len(routing))
         return Node(routing, upward, np.array([r for *_, r in groups]), [self._load(members, s) for s, members, _ in groups])
 
-    def search(self, query: np.ndarray, k: int, own: int) -> list[tuple[int, int]]:
-        """The k (score, id) of largest inner product, ties to the smaller id, without rows whose id is `own`."""
+    def search(self, query: np.ndarray, k: int, own: int, floor: int | None = None) -> list[tuple[int, int]]:
+        """The k (score, id) of largest inner product, ties to the smaller id, without rows whose id is `own`.
+
+        With a floor, a score that k others are known to reach, those below it may be left out: what other shards gave
+        bounds the search of this one from its start.
+        """
         if self.root is None:
             return []
         q = query.astype(np.float64)
@@ -84,7 +89,7 @@ class MTree:
         kind = np.float64 if self.exact and bound < 2**53 else np.int64 if bound < 2**62 else object  # Python's integers don't overflow
         factor = q if kind is np.float64 else query.astype(np.int64).astype(kind)
         best: list[tuple[int, int]] = []  # (score, -id), the worst first
-        limit = np.inf  # distance of the k-th best so far
+        limit = np.inf if floor is None else float(np.sqrt(max(constant - 2 * floor, 0)))  # distance of the k-th best so far
         queue: list[tuple[float, int, Node, float]] = [(0.0, 0, self.root, -1.0)]
         serial = 1
         while queue:
@@ -111,6 +116,8 @@ class MTree:
                 continue
             if len(best) == k:
                 chosen, scores = chosen[scores >= best[0][0]], scores[scores >= best[0][0]]
+            if floor is not None:
+                chosen, scores = chosen[scores >= floor], scores[scores >= floor]
             for i, score in zip(chosen, scores):
                 vec_id = int(self.ids[rows[i]])
                 if vec_id == own:
@@ -121,7 +128,7 @@ class MTree:
                 elif entry > best[0]:
                     heapq.heapreplace(best, entry)
             if len(best) == k:
-                limit = float(np.sqrt(max(constant - 2 * best[0][0], 0)))
+                limit = min(limit, float(np.sqrt(max(constant - 2 * best[0][0], 0))))
         return [(s, -i) for s, i in sorted(best, reverse=True)]
 
 
@@ -162,13 +169,19 @@ def _unpack(dim: int, n: int, ids: bytes, data: bytes, width: int) -> tuple[np.n
 def _search(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, tree = None, None
+        tops: dict[bytes, list[list[int]]] = {}  # by query block the k best scores of each query so far, over all shards of the task
         for batch in batches:
             for row in batch.to_pylist():
                 width = max(row["dim"], row["q_dim"])
                 if key != (row["ids"], row["data"], width):
                     key, tree = (row["ids"], row["data"], width), MTree(*_unpack(row["dim"], row["n"], row["ids"], row["data"], width))
                 q_ids, queries = _unpack(row["q_dim"], row["q_n"], row["q_ids"], row["q_data"], width)
-                found = [(int(q), s, i) for q, v in zip(q_ids, queries) for s, i in tree.search(v, k, int(q))]
+                held = tops.setdefault(hashlib.blake2b(row["q_ids"], digest_size=16).digest(), [[] for _ in q_ids])
+                found = []
+                for n, (q, v) in enumerate(zip(q_ids.tolist(), queries)):
+                    got = tree.search(v, k, q, held[n][0] if len(held[n]) == k else None)
+                    found += [(q, s, i) for s, i in got]
+                    held[n] = sorted([*held[n], *(s for s, _ in got)])[-k:]
                 if over := next((f for f in found if not -(1 << 63) <= f[1] < 1 << 63), None):
                     raise OverflowError(f"the score {over[1]} of query {over[0]} and vector {over[2]} does not fit a long")
                 yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in (0, 1, 2)], ["query_id", "score", "vec_id"])
@@ -193,10 +206,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     Both tables have vec_id and vector (array of long). A query's own rows, those with its id, are no candidates;
     of query rows with one id the least vector counts; repeated candidates each take a rank; vectors of unlike
     length meet as if padded with zeros. Vectors are packed where they are read into shards of bounded size, each
-    with its own tree, and every query block visits every shard. Query blocks are broadcast only up to a size that
+    with its own tree, and every query block visits every shard, with the bound that the task's shards before gave. Query blocks are broadcast only up to a size that
     is looked up; beyond it shards and blocks meet in a shuffled join spread over salts.
     """
     spark = vectors.sparkSession
+    small_batches(spark)
     one = queries.groupBy("vec_id").agg(F.min("vector").alias("vector"))
     staged = stage(one.mapInArrow(_pack(BLOCK_ROWS), PACK), "mtree-queries")
     blocks = staged.select(F.col("dim").alias("q_dim"), F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
@@ -205,7 +219,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         met = shards.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).crossJoin(F.broadcast(blocks))
     else:
         salts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        met = shards.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts))).join(blocks.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), "salt").drop("salt")
+        met = shards.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts))).join(blocks.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), "salt").drop("salt").sortWithinPartitions(F.xxhash64("ids"), "n")  # the rows of a shard follow each other: its tree is built once
     found = met.mapInArrow(_search(k), "query_id long, score long, vec_id long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
