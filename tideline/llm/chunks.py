@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import arrowtext
-from .common import only, small_batches, stage
+from .common import drop, only, small_batches, stage
 
 CUT_WORDS = 8  # of so many words in a row the one of least hash ends a chunk; a power of two
 MARGIN = 24  # words that a passage can reach over its first or last certain pair: 16 bytes of other context, and twice CUT_WORDS
@@ -114,13 +114,17 @@ def windows(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: np.nda
     return place, key[place]
 
 
-def near(first: np.ndarray, last: np.ndarray, place: np.ndarray, least: int, n: int) -> np.ndarray:
-    """Which windows lie whole within MARGIN words of the pairs given by their first and last words."""
+def covered_runs(first: np.ndarray, last: np.ndarray, text: np.ndarray, margin: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last words of the runs, each within one text, of words that lie between first and last or within margin of them."""
+    n = len(text)
     edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, np.maximum(first - MARGIN, 0), 1)
-    np.add.at(edge, np.minimum(last + 1 + MARGIN, n), -1)
-    outside = np.concatenate([[0], np.cumsum(np.cumsum(edge)[:n] <= 0)])
-    return outside[place + least] == outside[place]
+    np.add.at(edge, np.maximum(first - margin, 0), 1)
+    np.add.at(edge, np.minimum(last + 1 + margin, n), -1)
+    inside = np.cumsum(edge)[:n] > 0
+    other = text[1:] != text[:-1]
+    head = np.flatnonzero(inside & np.concatenate([[True], ~inside[:-1] | other])) if n else np.zeros(0, np.int64)
+    tail = np.flatnonzero(inside & np.concatenate([~inside[1:] | other, [True]])) if n else np.zeros(0, np.int64)
+    return head, tail
 
 
 def known(keys: np.ndarray, found: list[bytes]) -> np.ndarray:
@@ -134,6 +138,7 @@ def known(keys: np.ndarray, found: list[bytes]) -> np.ndarray:
 
 # --- the exchange -------------------------------------------------------------------------------------------
 
+REGIONS = "grp string, ids array<long>, data binary, offsets binary, owner array<long>, base array<long>"
 STAGED = "grp string, ids array<long>, data binary, offsets binary, windows long"
 
 
@@ -195,18 +200,44 @@ def _ask_pairs(buckets: int):
     return run
 
 
-def _ask_windows(buckets: int, least: int):
-    """Windows around the pairs of which it was found that several documents hold them."""
+def _region_batches(least: int):
+    """What lies around the pairs that several documents hold, if it is long enough for a passage: each stretch with its
+    document and the place of its first byte there. The rest of the texts is not needed any more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                data, _, starts, ends, text = _group(row)
+                data, offsets, starts, ends, text = _group(row)
                 first, last, pair = chunk_pairs(data, ends, text)
                 held = known(pair, row["found"])
+                head, tail = covered_runs(first[held], last[held], text, MARGIN)
+                long = tail - head + 1 >= least
+                head, tail = head[long], tail[long]
+                if not len(head):
+                    continue
+                begin, size, owner = starts[head], ends[tail] - starts[head], text[head]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([row["grp"]]),
+                        pa.array([[row["ids"][t] for t in owner.tolist()]], pa.list_(pa.int64())),
+                        pa.array([arrowtext.ragged(data, begin, size).tobytes()], pa.binary()),
+                        pa.array([np.concatenate([[0], np.cumsum(size)]).astype("<i8").tobytes()], pa.binary()),
+                        pa.array([owner], pa.list_(pa.int64())),
+                        pa.array([begin - offsets[owner]], pa.list_(pa.int64())),
+                    ],
+                    ["grp", "ids", "data", "offsets", "owner", "base"],
+                )
+
+    return run
+
+
+def _ask_windows(buckets: int, least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                data, _, starts, ends, text = _group(row)
                 place, key = windows(data, starts, ends, text, least)
-                close = near(first[held], last[held], place, least, len(starts))
-                yield _asked(row["grp"], key[close], text[place[close]], buckets)
+                yield _asked(row["grp"], key, np.array(row["owner"])[text[place]], buckets)
 
     return run
 
@@ -244,18 +275,12 @@ def _span_batches(least: int):
                 data, offsets, starts, ends, text = _group(row)
                 place, key = windows(data, starts, ends, text, least)
                 hit = place[known(key, row["found"])]
-                covered = np.zeros(len(starts) + 1, np.int64)
-                np.add.at(covered, hit, 1)
-                np.add.at(covered, hit + least, -1)
-                covered = np.cumsum(covered)[:-1] > 0
-                other = text[1:] != text[:-1]
-                head = np.flatnonzero(covered & np.concatenate([[True], ~covered[:-1] | other]))
-                tail = np.flatnonzero(covered & np.concatenate([~covered[1:] | other, [True]]))
-                out: dict[int, list[tuple[int, int, int]]] = {}
-                for a, b in zip(head, tail):
-                    base = offsets[text[a]]
-                    out.setdefault(int(text[a]), []).append((int(starts[a] - base), int(ends[b] - base), int(b - a + 1)))
-                rows = [(row["ids"][t], len(s), sum(w for *_, w in s), sum(b - a for a, b, _ in s), ",".join(f"{a}:{b}" for a, b, _ in s)) for t, s in sorted(out.items())]
+                out: dict[int, tuple[int | None, list[tuple[int, int, int]]]] = {}
+                for a, b in zip(*covered_runs(hit, hit + least - 1, text, 0)):
+                    t = text[a]
+                    shift = row["base"][t] - int(offsets[t])
+                    out.setdefault(row["owner"][t], (row["ids"][t], []))[1].append((int(starts[a]) + shift, int(ends[b]) + shift, int(b - a + 1)))
+                rows = [(i, len(s), sum(w for *_, w in s), sum(b - a for a, b, _ in s), ",".join(f"{a}:{b}" for a, b, _ in s)) for _, (i, s) in sorted(out.items())]
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.string() if c == 4 else pa.int64()) for c in range(5)], ["doc_id", "n_spans", "n_words", "n_bytes", "spans"])
 
     return run
@@ -287,7 +312,10 @@ def repeated_passages(docs: DataFrame, least_words: int = 50) -> DataFrame:
         found = asked.repartitionById(buckets, F.col("bucket")).mapInArrow(_answer_batches, "grp string, found binary")
         return stage(found.groupBy("grp").agg(F.collect_list("found").alias("found")), "answers")
 
-    texts = staged.select("data", "offsets", "grp")
-    pairs = answered(texts.mapInArrow(_ask_pairs(buckets), asks))
-    answers = answered(texts.join(pairs, "grp").mapInArrow(_ask_windows(buckets, least_words), asks))
-    return staged.join(answers, "grp").select("ids", "data", "offsets", "found").mapInArrow(_span_batches(least_words), "doc_id long, n_spans long, n_words long, n_bytes long, spans string")
+    pairs = answered(staged.select("data", "offsets", "grp").mapInArrow(_ask_pairs(buckets), asks))
+    near = staged.select("ids", "data", "offsets", "grp").join(pairs, "grp")
+    regions = stage(near.mapInArrow(_region_batches(least_words), REGIONS), "regions")
+    drop(staged)
+    drop(pairs)
+    answers = answered(regions.select("data", "offsets", "grp", "owner").mapInArrow(_ask_windows(buckets, least_words), asks))
+    return regions.join(answers, "grp").mapInArrow(_span_batches(least_words), "doc_id long, n_spans long, n_words long, n_bytes long, spans string")
