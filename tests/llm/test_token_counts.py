@@ -41,3 +41,9 @@ def test_documents_equal_the_library(spark, library, sf_dir):
     got = {r.doc_id: r.n_tokens for r in token_counts(docs, PATH).collect()}
     for r in docs.collect():
         assert got[r.doc_id] == len(library.encode(r.text or "", add_special_tokens=False).ids)
+
+
+def test_files_with_other_rules_are_refused(tmp_path):
+    for name in ("word_bpe_49k.json",):
+        with pytest.raises(ValueError):
+            ByteBpe(public_tokenizers.path(name))

@@ -77,6 +77,9 @@ class ByteBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
+        cut = spec.get("pre_tokenizer") or {}
+        if spec.get("normalizer") or (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex", True)) != ("ByteLevel", False, True) or spec["model"].get("ignore_merges"):
+            raise ValueError(f"{path}: not a byte-level file cut by the usual pattern and merged by rank alone")
         vocab = spec["model"]["vocab"]
         self.byte_ids = np.array([vocab[x] for x in byte_letters()], dtype=np.int32)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
