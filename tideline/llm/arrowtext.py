@@ -51,6 +51,20 @@ def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES)
         start = end
 
 
+def gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined to about `limit` bytes each: what is worked out once for each distinct word pays more in larger ones."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= limit:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     """A text column with null as the empty text, with 64-bit offsets."""
     column = batch.column(batch.schema.get_field_index(name))

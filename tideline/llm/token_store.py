@@ -14,26 +14,31 @@ Files, all Parquet under one path:
 from __future__ import annotations
 
 import hashlib
-import re
+import json
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import reduce
 from operator import and_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tokenizers import Tokenizer
 
 from . import arrowtext
-from .common import new_path, only
+from .common import new_path, only, small_batches
 from .token_counts import byte_letters
 
 DIGEST = 16
 LEAST, MOST, CUT_BITS = 64, 1024, 8  # ids in a chunk: 64 at least, 1024 at most, a cut at one place of 256 between
-CACHED_PIECES, CACHED_SEGMENTS = 600_000, 100_000  # in each of two generations
+CACHED_PIECES = 600_000  # in each of two generations
+SLICE_BYTES = 24_000_000
+SUSPECT = r"[^\t\n\r -~\p{L}\p{M}\p{N}\p{P}\p{S}]|<\||Σ"  # what Arrow's tables don't know to be plain; Python's decide
+MARK = "\x00"
 SEEN_CHUNKS = 200_000
 
 
@@ -43,59 +48,80 @@ SEEN_CHUNKS = 200_000
 class SegmentEncoder:
     """Ids of whole texts by the tokenizers library, each distinct piece of a text encoded once.
 
-    For vocabularies whose pre-tokenizer drops white space and whose normalizer works letter by letter, a text's
-    ids are those of its space-separated segments in order, and a segment's are those of its pre-tokens.
+    For files with NORMALIZER and PRE_TOKENIZER, which drop white space and work letter by letter, a text's ids are
+    those of its space-separated segments in order, and a segment's are those of its pre-tokens. The segments of a slice
+    are folded and cut by one call; the model sees only pieces it hasn't met lately.
+    With any other file, and for segments that hold what the rules don't cover, the library encodes the whole.
     """
 
     PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+    PRE_TOKENIZER = {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": PRETOKEN}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    }
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        rules = json.loads(self.tokenizer.to_str())
+        self.regular = rules["normalizer"] == self.NORMALIZER and rules["pre_tokenizer"] == self.PRE_TOKENIZER
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 0x10000 else "<u4")
         self.letters = byte_letters()
-        self.ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
+        # Segments are joined by a mark that no regular segment holds; it is a piece of its own, without ids.
+        self.any = regex.compile(f"{MARK}|" + self.PRETOKEN.replace(r"[^\s\p{L}\p{N}]", rf"[^\s\p{{L}}\p{{N}}{MARK}]"))
         self.breaks = dict.fromkeys(map(ord, "\t\n\r"))
-        self.any = regex.compile(self.PRETOKEN)
-        self.pieces, self.known = arrowtext.Recent(CACHED_PIECES), arrowtext.Recent(CACHED_SEGMENTS)
+        self.pieces = arrowtext.Recent(CACHED_PIECES)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-    def piece(self, word: str) -> bytes:
-        found = self.pieces.get(word) or self.pieces.old.get(word)
-        if found is None:
-            spelled = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
-            found = np.array([t.id for t in self.model.tokenize(spelled)], dtype=self.dtype).tobytes()
-        self.pieces[word] = found
-        return found
-
-    def segment(self, s: str) -> bytes:
-        if "<|" in s or "Σ" in s or not s.isprintable() and not s.translate(self.breaks).isprintable():
-            return self.whole(s)  # special strings, control characters, and letters whose case depends on their place
-        if s.isascii():
-            return b"".join(map(self.piece, self.ascii.findall(s.lower())))
-        return b"".join(map(self.piece, self.any.findall(unicodedata.normalize("NFC", s).lower())))
+    def odd(self, s: str) -> bool:
+        """Special strings, control characters, and letters whose case depends on their place."""
+        return "<|" in s or "Σ" in s or not s.isprintable() and not s.translate(self.breaks).isprintable()
+
+    def _learn(self, words: set[str]) -> None:
+        self.pieces.recall([])
+        young, old = self.pieces, self.pieces.old
+        for word in words.difference(young):
+            known = old.get(word)
+            if known is None:
+                spelled = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+                known = array(self.dtype.char, [t.id for t in self.model.tokenize(spelled)]).tobytes()
+            young[word] = known
+        young[MARK] = b""
+
+    def _ids(self, segments: list[str]) -> list[bytes]:
+        """Ids of regular segments."""
+        joined = MARK.join(segments) + MARK
+        found = self.any.findall((joined if joined.isascii() else unicodedata.normalize("NFC", joined)).lower())
+        self._learn(set(found))
+        pool = list(map(self.pieces.__getitem__, found))
+        size = np.fromiter(map(len, pool), np.int64, len(pool))
+        flat, ends = b"".join(pool), np.cumsum(size)[size == 0].tolist()  # every piece but the mark has an id
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
     def encode(self, values: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other and each closed by `end`, and the offsets of the texts."""
         distinct, codes, offsets = arrowtext.segments(values)
         found = distinct.to_pylist()
-        self.pieces.recall([])
-        for x in self.known.recall(found):
-            self.known[x] = self.segment(x)
-        pool = list(map(self.known.__getitem__, found))
-        length = np.fromiter(map(len, pool), np.int64, len(pool)) // self.dtype.itemsize
-        flat = np.frombuffer(b"".join(pool), dtype=self.dtype)
-        begin = np.cumsum(length) - length
-        sizes = arrowtext.sums(length[codes], offsets) + 1
-        ends = np.cumsum(sizes)
-        out = np.empty(int(ends[-1]), dtype=self.dtype)
-        body = np.ones(len(out), dtype=bool)
-        body[ends - 1] = False
-        out[ends - 1] = end
-        out[body] = arrowtext.ragged(flat, begin[codes], length[codes])
-        return out, np.concatenate([[0], ends])
+        if self.regular:
+            odd = [i for i in np.flatnonzero(pc.match_substring_regex(distinct, SUSPECT).to_numpy(zero_copy_only=False)).tolist() if self.odd(found[i])]
+            wholes = [self.whole(found[i]) for i in odd]
+            for i in odd:
+                found[i] = ""
+            pool = self._ids(found)
+            for i, ids in zip(odd, wholes):
+                pool[i] = ids
+        else:
+            pool = list(map(self.whole, found))
+        last, each, bounds = np.array([end], self.dtype).tobytes(), codes.tolist(), offsets.tolist()
+        texts = [b"".join(map(pool.__getitem__, each[a:b])) + last for a, b in zip(bounds, bounds[1:])]
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts)) // self.dtype.itemsize
+        return np.frombuffer(b"".join(texts), dtype=self.dtype), np.concatenate([[0], np.cumsum(sizes)])
 
 
 # --- cutting ------------------------------------------------------------------------------------------------
@@ -154,8 +180,8 @@ def _cut_batches(path: str, end: int, chunk_parts: int, bounds: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, SegmentEncoder(path))
         seen: set[bytes] = set()
-        for batch in batches:
-            for part in arrowtext.slices(batch):
+        for batch in arrowtext.gathered(batches, SLICE_BYTES):
+            for part in arrowtext.slices(batch, limit=SLICE_BYTES):
                 ids, offsets = encoder.encode(arrowtext.texts(part), end)
                 marks = cut_marks(ids)
                 first = np.searchsorted(marks, offsets[:-1], side="right")
@@ -208,6 +234,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, end: int, path: str) -> No
     over the same chunks; other columns are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     clean = only(docs, doc_id="long", text="string")
     parts = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
     recipes = max(1, parts // 4)
@@ -307,16 +334,22 @@ def _joined_crcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From each recipe's chunks in order: root, ids and crc of the document they make up."""
     shifts = crc_shifts(MOST)
     for batch in batches:
-        roots, lists = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        chunks = [sorted(x, key=lambda c: c["seq"]) for x in lists]
-        crc = np.zeros(len(chunks), dtype=np.uint64)
-        for k in range(max(map(len, chunks), default=0)):
-            at = np.flatnonzero(np.fromiter((len(c) > k for c in chunks), bool, len(chunks)))
-            n = np.array([chunks[i][k]["n"] for i in at])
-            crc[at] = _times(crc[at], shifts[n]) ^ np.array([chunks[i][k]["crc"] for i in at], dtype=np.uint64)
-        total = [sum(c["n"] for c in x) for x in chunks]
-        same = [merkle_root([bytes(c["digest"]) for c in x]) == bytes(r) for r, x in zip(roots, chunks)]
-        yield pa.RecordBatch.from_arrays([pa.array(roots, pa.binary()), pa.array(total, pa.int64()), pa.array(crc.astype(np.int64)), pa.array(same)], ["root", "ids", "ids_crc32", "verified"])
+        roots, lists = batch.column(0).to_pylist(), batch.column(1)
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        bounds -= bounds[0]
+        flat = lists.flatten()
+        row, seq = np.repeat(np.arange(len(roots)), np.diff(bounds)), flat.field("seq").to_numpy()
+        order = np.lexsort((seq, row))
+        n, each = flat.field("n").to_numpy()[order].astype(np.int64), flat.field("crc").to_numpy()[order].astype(np.uint64)
+        digests = flat.field("digest").take(pa.array(order)).to_pylist()
+        counts, crc = np.diff(bounds), np.zeros(len(roots), dtype=np.uint64)
+        for k in range(int(counts.max(initial=0))):
+            at = np.flatnonzero(counts > k)
+            place = bounds[at] + k
+            crc[at] = _times(crc[at], shifts[n[place]]) ^ each[place]
+        total = np.bincount(row, n, len(roots)).astype(np.int64)
+        same = [merkle_root(digests[a:b]) == r for r, a, b in zip(roots, bounds.tolist(), bounds[1:].tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array(roots, pa.binary()), pa.array(total), pa.array(crc.astype(np.int64)), pa.array(same)], ["root", "ids", "ids_crc32", "verified"])
 
 
 def _references(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
