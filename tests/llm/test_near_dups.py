@@ -101,3 +101,27 @@ def test_repeated_and_missing_ids_and_empty_table(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert got(N.near_duplicates(df)) == sorted([(5, 2, 5, True), (5, 2, 5, True), (None, 2, None, True), (9, 2, 5, False)], key=str)
     assert N.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_loose_copies_of_one_text_are_not_paired_with_each_other(spark, monkeypatch):
+    """Copies that each differ from the next by about four parts in ten: sketches can't tell such pairs from links, whole sets can."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(400)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 161):
+        copy = list(base)
+        for k in rng.sample(range(400), 2 if i % 8 == 0 else 14):
+            copy[k] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(copy)))
+    pairs, stage = [], N.stage
+
+    def counted(df, label):
+        out = stage(df, label)
+        if label == "pairs":
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(N, "stage", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert got(N.near_duplicates(df, 4, 80)) == sorted(brute(rows, 4, 80), key=str)
+    assert pairs[0] < 10 * len(rows)

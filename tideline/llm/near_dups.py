@@ -3,8 +3,14 @@
 A sketch is the k least hashes of a document's shingles. Documents with the same shingles are one class. Of a
 class's retained values only its rarest enter the inverted lists: as two linked documents share at least `need` of
 their k retained values, any k - need + 1 of one document's meet the other's, in whatever order both rank them, and
-ranking by rarity keeps passages that many documents share out of the lists. Lists generate pairs, sketches of the
-union filter them, and full shingle sets confirm every link.
+ranking by rarity keeps passages that many documents share out of the lists. Neighbours in these lists are joined
+first, filtered by sketches of the union and confirmed on full shingle sets.
+
+What a list still holds unjoined is searched by full sets, since sketches of many loose copies of one text can't be told
+from those of linked ones and would pair all of them. The shingles of every such set are put in one order, roughly
+the rarest first: of two linked sets of n and m the first shingle they share is the i-th of one and the j-th of the
+other, and as they share at least percent / (100 + percent) of n + m, no fewer may follow it in either. Each set enters
+the lists of its first shingles only, with how many follow, and pairs that can't reach that number are never emitted.
 """
 
 from __future__ import annotations
@@ -23,7 +29,9 @@ from .components import components
 
 K = 64
 NEED = 33  # at similarity 0.8 a pair shares fewer of 64 retained values with a chance of about one in ten million
-BLOCK, VALUES = 256, 2048
+BLOCK = 256
+PAIRS_AT_ONCE = 500_000
+BUCKETS, SEGMENT = 1 << 19, 2048  # counters of shingles by their lower bits, and how many of them are one row
 SALT_ROWS = 4096  # members of an inverted list that are ranked by one task
 FIRST_PARTNERS = 3
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -89,48 +97,80 @@ def needed(n: int) -> int:
     return min(NEED, math.ceil(0.8 * min(n, K)))
 
 
-def _node(ids: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
-    return ids.field("doc").to_numpy(), ids.field("tag").to_numpy()
+def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles fall into each bucket, over all of a task's sets."""
+    total = np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        flat = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u8")
+        total += np.bincount((flat & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+    if total.any():
+        rows = total.astype("<u4").reshape(-1, SEGMENT)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows)), pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary())], ["segment", "counts"])
 
 
-def _side(row: pa.ListScalar) -> tuple[np.ndarray, ...]:
-    """doc, tag, size and label mark of the members, flat sketches and the member of each sketch value, without a Python object a value."""
-    members = row.values
-    sketch = members.field("sketch")
-    width = np.diff(sketch.offsets.to_numpy())
-    return (*_node(members.field("id")), members.field("n").to_numpy(), members.field("mark").to_numpy(), sketch.flatten().to_numpy(), np.repeat(np.arange(len(members)), width))
+def _sum_counts(rows: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(c, "<u4").astype(np.uint64) for c in rows.column("counts").to_pylist())
+    return pa.table({"segment": rows.column("segment")[:1], "counts": pa.array([np.minimum(total, 0xFFFFFFFF).astype("<u4").tobytes()], pa.binary())})
 
 
-def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of unlike label, within and between two blocks of an inverted list, that share enough retained values.
+def _weights(sets: DataFrame) -> np.ndarray:
+    """About how often the shingles of each bucket occur in the sets: an order of shingles, of bounded size however many."""
+    counted = sets.select("shingles").mapInArrow(_count_batches, "segment long, counts binary").groupBy("segment").applyInArrow(_sum_counts, "segment long, counts binary")
+    out = np.zeros((BUCKETS // SEGMENT, SEGMENT), np.uint32)
+    for row in counted.collect():
+        out[row.segment] = np.frombuffer(row.counts, "<u4")
+    return out.ravel()
 
-    A row, two blocks at most, is unpacked at a time. Shared values are counted by the products of 0-1 tables over
-    slices of the values, so that no table has more than BLOCK * VALUES cells.
-    """
-    for batch in batches:
-        for k in range(batch.num_rows):
-            left = _side(batch.column(0)[k])
-            right = _side(batch.column(1)[k]) if batch.column(1)[k].is_valid else left
-            both = np.intersect1d(left[4], right[4])
-            shared = np.zeros((len(left[0]), len(right[0])), np.float32)
-            for start in range(0, len(both), VALUES):
-                some = both[start : start + VALUES]
-                tables = []
-                for side in (left, right):
-                    at = np.minimum(np.searchsorted(some, side[4]), len(some) - 1)
-                    hit = some[at] == side[4]
-                    tables.append(np.zeros((len(side[0]), len(some)), np.float32))
-                    tables[-1][side[5][hit], at[hit]] = 1
-                shared += tables[0] @ tables[1].T
-            small, large = np.minimum(left[2][:, None], right[2]), np.maximum(left[2][:, None], right[2])
-            good = (shared >= np.minimum(NEED, np.ceil(0.8 * np.minimum(small, K)))) & (left[3][:, None] != right[3]) & (100 * small >= 80 * large)
-            i, j = np.nonzero(good)
-            a_doc, a_tag, b_doc, b_tag = left[0][i], left[1][i], right[0][j], right[1][j]
-            after = (a_doc > b_doc) | (a_doc == b_doc) & (a_tag > b_tag)
-            ends = [
-                pa.StructArray.from_arrays([pa.array(np.where(first, a_doc, b_doc), pa.int64()), pa.array(np.where(first, a_tag, b_tag), pa.int64())], ["doc", "tag"]) for first in (after, ~after)
-            ]
-            yield pa.RecordBatch.from_arrays([*ends, pa.array(shared[i, j].astype(np.int32))], ["u", "v", "shared"])
+
+def _prefix_batches(weights: np.ndarray, percent: int):
+    """Of each set the first shingles in the common order, one of which any linked set shares, and how many are left from each on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, left, sizes = [], [], []
+            for data in batch.column(2).to_pylist():
+                x = np.frombuffer(data, "<u8")
+                weight = weights[x & np.uint64(BUCKETS - 1)]
+                order = np.argsort(weight, kind="stable")[: len(x) - (percent * len(x) + 99) // 100 + 1]
+                at = np.flatnonzero(weight[order] > 1)  # no other set has what is alone in its bucket
+                values.append(x[order[at]].astype(np.int64)), left.append(len(x) - at), sizes.append(len(x))
+            row = np.repeat(np.arange(batch.num_rows), list(map(len, values)))
+            columns = [np.concatenate(values), np.concatenate(left), np.array(sizes)[row]] if values else [np.zeros(0, np.int64)] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), *(pa.array(c, pa.int64()) for c in columns)], ["id", "mark", "value", "left", "n"])
+
+    return run
+
+
+def _block_pairs(percent: int):
+    """Pairs of unlike label, within and between two blocks of a list, that can share enough shingles; near: the more can be shared, the greater."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = batch.column(0), batch.column(1)
+            alone = two.is_null().to_numpy(zero_copy_only=False)
+            members = pa.concat_arrays([one.values, two.values])
+            doc, tag, n, left, mark = (x.to_numpy() for x in (members.field("id").field("doc"), members.field("id").field("tag"), members.field("n"), members.field("left"), members.field("mark")))
+            bounds, others = one.offsets.to_numpy().astype(np.int64), two.offsets.to_numpy().astype(np.int64)
+            a, a_size = bounds[:-1], np.diff(bounds)
+            b, b_size = np.where(alone, a, others[:-1] + len(one.values)), np.where(alone, a_size, np.diff(others))
+            cells = np.cumsum(a_size * b_size)
+            start = 0
+            while start < len(a):
+                base = cells[start - 1] if start else 0
+                end = max(start + 1, int(np.searchsorted(cells, base + PAIRS_AT_ONCE, side="right")))
+                size = (a_size * b_size)[start:end]
+                row = np.repeat(np.arange(start, end), size)
+                cell = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+                i, j = a[row] + cell // b_size[row], b[row] + cell % b_size[row]
+                small, large, total = np.minimum(n[i], n[j]), np.maximum(n[i], n[j]), n[i] + n[j]
+                good = (mark[i] != mark[j]) & (100 * small >= percent * large) & ((100 + percent) * np.minimum(left[i], left[j]) >= percent * total) & (~alone[row] | (i < j))
+                i, j, total = i[good], j[good], total[good]
+                after = (doc[i] > doc[j]) | (doc[i] == doc[j]) & (tag[i] > tag[j])
+                ends = [pa.StructArray.from_arrays([pa.array(x[np.where(first, i, j)]) for x in (doc, tag)], ["doc", "tag"]) for first in (after, ~after)]
+                yield pa.RecordBatch.from_arrays([*ends, pa.array((left[i] + left[j]) / total)], ["u", "v", "near"])
+                start = end
+
+    return run
 
 
 def _estimate_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,8 +231,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, keep: tu
 
     A class of equal sets of any size is one member of the search; it is known by its least doc_id and a tag of its
     digest. A list of any length is spread over salts, cut into blocks of bounded size, and blocks meet pairwise if
-    the sizes of their documents allow a link, first after links between neighbours have joined what is alike; nothing
-    is emitted for pairs that are joined already.
+    the sizes of their documents allow a link, after links between neighbours have joined what is alike; nothing is
+    emitted for pairs that are joined already, nor for those whose sets can't overlap enough.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -236,24 +276,31 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, keep: tu
     labels = stage(components(links), "labels")
     drop(links)
 
-    # Then every pair of a list that is not joined yet.
+    # Then every pair that is not joined yet, of the documents that share a list with one of another label.
     told = lists.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed = told.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("value")
-    placed = told.join(mixed, "value", "left_semi").withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK)).join(reps.select("id", "sketch"), "id")
-    side = F.collect_list(F.struct("id", "n", F.xxhash64("label").alias("mark"), "sketch")).alias("side")
-    blocks = stage(placed.groupBy("value", "salt", "salts", "block").agg(side, F.min("n").alias("low"), F.max("n").alias("high")), "blocks")
+    open_ = stage(told.join(mixed, "value", "left_semi").groupBy("id").agg(F.xxhash64(F.first("label")).alias("mark")), "open")
     drop(lists)
+    weights = _weights(sets)
+    first_ones = sets.join(small(open_), "id").select("id", "mark", "shingles").mapInArrow(_prefix_batches(weights, percent), f"id {node}, mark long, value long, left long, n long")
+    entries = stage(first_ones, "entries")
+    drop(open_)
+    mixed = entries.groupBy("value").agg(F.min("mark").alias("low"), F.max("mark").alias("high"), F.ceil(F.count(F.lit(1)) / SALT_ROWS).alias("salts")).where("low <> high").select("value", "salts")
+    placed = entries.join(mixed, "value").withColumn("salt", F.pmod(F.xxhash64("id"), "salts")).withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK))
+    side = F.collect_list(F.struct("id", "n", "left", "mark")).alias("side")
+    blocks = stage(placed.groupBy("value", "salt", "salts", "block").agg(side, F.min("n").alias("low"), F.max("n").alias("high")), "blocks")
+    drop(entries)
     a, b = blocks.alias("a"), blocks.withColumn("meets", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).alias("b")
     allowed = (F.col("a.low") * 80 <= F.col("b.high") * 100) & (F.col("b.low") * 80 <= F.col("a.high") * 100)
     once = F.struct("a.salt", "a.block") < F.struct("b.salt", "b.block")
     met = a.join(b, (F.col("a.value") == F.col("b.value")) & (F.col("a.salt") == F.col("b.meets")) & once & allowed).select(F.col("a.side").alias("left"), F.col("b.side").alias("right"))
     alone = blocks.select(F.col("side").alias("left"), F.lit(None).cast(blocks.schema["side"].dataType).alias("right"))
-    pairs = stage(met.unionByName(alone).mapInArrow(_block_pairs, f"u {node}, v {node}, shared int").where("u <> v").groupBy("u", "v").agg(F.max("shared").alias("shared")), "pairs")
+    pairs = stage(met.unionByName(alone).mapInArrow(_block_pairs(percent), f"u {node}, v {node}, near double").groupBy("u", "v").agg(F.max("near").alias("near")), "pairs")
     drop(blocks)
     if pairs.limit(1).count():
         # The likeliest partners first: most of the rest is joined by then and need not be confirmed.
         ends = pairs.withColumn("end", F.explode(F.array("u", "v")))
-        best = ends.withColumn("rank", F.row_number().over(Window.partitionBy("end").orderBy(F.desc("shared"), "u", "v"))).where(F.col("rank") <= FIRST_PARTNERS).select("u", "v").distinct()
+        best = ends.withColumn("rank", F.row_number().over(Window.partitionBy("end").orderBy(F.desc("near"), "u", "v"))).where(F.col("rank") <= FIRST_PARTNERS).select("u", "v").distinct()
         second = confirmed(best)
         labels = _absorbed(labels, second)
         left = pairs.select("u", "v").join(best, ["u", "v"], "left_anti")
