@@ -129,3 +129,28 @@ def test_best_paths_near_the_merge_order_and_merged_ids_equal_the_library(spark,
 def test_pieces_over_word_beginnings_are_refused():
     with pytest.raises(ValueError):
         S.PieceModel(pieces=[*SMALL.pieces, ("a▁b", -1.0, S.NORMAL)])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("abcx ", max_size=12), min_size=1, max_size=4), st.integers(1, 5))
+def test_ids_of_the_n_best_paths_are_theirs(texts, n):
+    model = S.PieceModel(pieces=SMALL.pieces)
+    for text, row in zip(texts, model.encode_paths(pa.array(texts, pa.large_string()), n)):
+        paths = [np.frombuffer(x, "<u4").tolist() for x in row[5]]
+        assert len(paths) == len(row[3]) and len({tuple(p) for p in paths}) == len(paths) and len(paths[0]) == row[0]
+        for ids, loss in zip(paths, row[3]):
+            assert sum(model.pieces[i][1] if i else model.unknown_score for i in ids) == pytest.approx(row[2] - loss)
+            assert "".join(model.spelled[i] if i else "x" for i in ids) == (S.MARK + text.replace(" ", S.MARK) if text else "")
+
+
+def test_operator_gives_the_ids_of_every_path(spark, model, monkeypatch):
+    monkeypatch.setattr(S, "IDS_AT_ONCE", 30)
+    data = [(1, "some text of several words"), (2, None), (None, ""), (3, "two  spaces ▁ and 各国 😀"), (4, "one"), (5, "word " * 300)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(2)
+    out = {r.doc_id: r for r in S.encode_pieces(df, PATH, n=4).collect()}
+    for doc_id, text in data:
+        row = out[doc_id]
+        assert row.ids == row.nbest_ids[0] == model.encode(text or "") and len(row.ids) == row.n_pieces
+        assert len(row.nbest_ids) == len(row.nbest_scores) == (4 if text else 1)
+        assert zlib.crc32(np.array(row.ids, "<u4").tobytes()) == row.ids_crc32
+        assert all(model.decode(ids) == (text or "").replace("▁", " ") for ids in row.nbest_ids)

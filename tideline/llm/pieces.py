@@ -36,6 +36,7 @@ CACHE_ENTRIES = 250_000
 RANK_SHIFT, PIECE_COST = 2.7, 10.0
 UNIGRAM, MERGES = 1, 2
 LETTERS_AT_ONCE = 200_000
+IDS_AT_ONCE = 500_000  # in a batch that goes back, over all paths of its texts
 RUNS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -100,7 +101,7 @@ class PieceModel:
         self.unknown_score = min((s for s, _ in self.scores.values()), default=0.0) - 10
         self.longest = max(map(len, self.scores), default=1)
         self.solved = arrowtext.Recent(CACHE_ENTRIES)
-        self.losses: dict[tuple[str, int], list[float]] = {}
+        self.ways: dict[tuple[str, int], tuple[list[float], list[bytes]]] = {}
         self._trie()
 
     # --- the lattice of one word, plainly ---
@@ -290,33 +291,45 @@ class PieceModel:
         text = self.join(ids).replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
-    def word_losses(self, word: str, n: int) -> list[float]:
-        """What the n best paths of a word lose against the best, by A*."""
-        found = self.losses.get((word, n))
+    def spell(self, word: str, path: list[int]) -> bytes:
+        """Ids of a path of `nbest`, an unknown letter by its fallback."""
+        out, at = array("I"), 0
+        for p in path:
+            out.extend([p] if p >= 0 else self.fallback(word[at]))
+            at += len(self.spelled[p]) if p >= 0 else 1
+        return out.tobytes()
+
+    def word_paths(self, word: str, n: int) -> tuple[list[float], list[bytes]]:
+        """What the n best paths of a word lose against the best, and their ids, by A*."""
+        found = self.ways.get((word, n))
         if found is None:
-            if len(self.losses) > CACHE_ENTRIES // 4:
-                self.losses.clear()
+            if len(self.ways) > CACHE_ENTRIES // 4:
+                self.ways.clear()
             paths = self.nbest(word, n)
-            found = self.losses[word, n] = [paths[0][0] - s for s, _ in paths]
+            found = self.ways[word, n] = [paths[0][0] - s for s, _ in paths], [self.spell(word, p) for _, p in paths]
         return found
 
-    def text_losses(self, words: list[str], n: int) -> list[float]:
-        """The losses of a text's n best paths, of words each with its own: A* over the chain, whose remaining loss is 0.
+    def text_paths(self, words: list[str], n: int) -> tuple[list[float], list[dict[int, bytes]]]:
+        """The losses of a text's n best paths, and the ids of the words that leave their best path, by place among `words`.
 
-        Of m words only the n - 1 with the smallest second-best losses can leave their best path in any of the n.
+        A* over the chain of words each with its own paths, whose remaining loss is 0. Of m words only the n - 1 with the
+        smallest second-best losses can leave their best path in any of the n.
         """
-        lists = [x for x in (self.word_losses(w, n) for w in words) if len(x) > 1]
-        queue, out = [(0.0, (0,) * len(lists), 0)], []
-        while queue and len(out) < n:
+        ways = [(i, *self.word_paths(w, n)) for i, w in enumerate(words)]
+        ways = [x for x in ways if len(x[1]) > 1]
+        queue, losses, changes = [(0.0, (0,) * len(ways), 0)], [], []
+        while queue and len(losses) < n:
             loss, ranks, least = heapq.heappop(queue)
-            out.append(loss)
-            for i in range(least, len(lists)):  # each choice of ranks is reached in one way
-                if ranks[i] + 1 < len(lists[i]):
-                    heapq.heappush(queue, (loss + lists[i][ranks[i] + 1] - lists[i][ranks[i]], (*ranks[:i], ranks[i] + 1, *ranks[i + 1 :]), i))
-        return out
-
-    def encode_all(self, values: pa.Array, n: int) -> list[tuple[int, int, float, list[float], bool]]:
-        """Of every text: pieces, crc32 of its ids (32 bits, little-endian), best score, losses of the n best paths, round trip."""
+            losses.append(loss)
+            changes.append({ways[k][0]: ways[k][2][r] for k, r in enumerate(ranks) if r})
+            for i in range(least, len(ways)):  # each choice of ranks is reached in one way
+                own = ways[i][1]
+                if ranks[i] + 1 < len(own):
+                    heapq.heappush(queue, (loss + own[ranks[i] + 1] - own[ranks[i]], (*ranks[:i], ranks[i] + 1, *ranks[i + 1 :]), i))
+        return losses, changes
+
+    def encode_paths(self, values: pa.Array, n: int) -> Iterator[tuple[int, int, float, list[float], bool, list[bytes]]]:
+        """Of every text what `encode_all` gives, and the ids of its n best paths, the best first."""
         distinct, codes, offsets = arrowtext.segments(values)
         found = [MARK + s for s in distinct.to_pylist()]
         odd_word = np.array([len(w) == 1 or MARK in w[1:] for w in found], dtype=bool)  # a run of spaces, or a mark in the text
@@ -324,10 +337,11 @@ class PieceModel:
         none = Solved((b"", 0, 0.0, math.inf, True))
         rows = [none if odd else self.solved[w] for w, odd in zip(found, odd_word)]
         count, total, loss, same = (np.array([r[k] for r in rows]) for k in (1, 2, 3, 4))
-        pieces, scores = arrowtext.sums(count[codes], offsets), arrowtext.sums(total[codes], offsets)
+        each = count[codes].astype(np.int64)
+        before = np.cumsum(each) - each  # pieces of all words before
+        scores = arrowtext.sums(total[codes], offsets)
         bad = arrowtext.sums((~same.astype(bool))[codes].astype(np.int64), offsets)
         odd = arrowtext.sums(odd_word[codes].astype(np.int64), offsets)
-        out = []
         for i in range(len(values)):
             mine = codes[offsets[i] : offsets[i + 1]]
             if odd[i]:
@@ -335,51 +349,90 @@ class PieceModel:
                 words = self.words(text)
                 self.solve(words)
                 got = [self.solved[w] for w in words]
-                near = heapq.nsmallest(n - 1, got and zip((g[3] for g in got), words))
-                out.append((sum(g[1] for g in got), zlib.crc32(b"".join(g[0] for g in got)), float(sum(g[2] for g in got)), self.text_losses([w for _, w in near], n), self.join([x for g in got for x in np.frombuffer(g[0], "<u4").tolist()]).replace(MARK, " ")[1:] == text))
-                continue
-            losses = loss[mine]
-            k = min(n - 1, len(mine))
-            near = mine[np.argpartition(losses, k - 1)[:k]] if k < len(mine) else mine
-            out.append((int(pieces[i]), zlib.crc32(b"".join([rows[c][0] for c in mine.tolist()])), float(scores[i]), self.text_losses([found[c] for c in near.tolist()], n), not bad[i]))
-        return out
+                best = b"".join([g[0] for g in got])
+                score, whole = float(sum(g[2] for g in got)), self.join(np.frombuffer(best, "<u4").tolist()).replace(MARK, " ")[1:] == text
+                near = sorted(k for _, k in heapq.nsmallest(n - 1, zip((g[3] for g in got), range(len(got)))))
+                ends = np.cumsum([g[1] for g in got], dtype=np.int64).tolist()
+                spans = [(4 * (ends[k] - got[k][1]), 4 * ends[k]) for k in near]
+                losses, changes = self.text_paths([words[k] for k in near], n)
+            else:
+                best = b"".join([rows[c][0] for c in mine.tolist()])
+                score, whole = float(scores[i]), not bad[i]
+                k = min(n - 1, len(mine))
+                near = np.sort(np.argpartition(loss[mine], k - 1)[:k]) if 0 < k < len(mine) else np.arange(k)
+                first = before[offsets[i] + near] - (before[offsets[i]] if len(mine) else 0)
+                spans = list(zip((4 * first).tolist(), (4 * (first + each[offsets[i] + near])).tolist()))
+                losses, changes = self.text_paths([found[c] for c in mine[near].tolist()], n)
+            ids = []
+            for change in changes:
+                out, at = [], 0
+                for k, other in sorted(change.items()):
+                    out += [best[at : spans[k][0]], other]
+                    at = spans[k][1]
+                ids.append(b"".join([*out, best[at:]]) if out else best)
+            yield len(best) // 4, zlib.crc32(best), score, losses, bool(whole), ids
+
+    def encode_all(self, values: pa.Array, n: int) -> list[tuple[int, int, float, list[float], bool]]:
+        """Of every text: pieces, crc32 of its ids (32 bits, little-endian), best score, losses of the n best paths, round trip."""
+        return [row[:5] for row in self.encode_paths(values, n)]
 
 
 _MODELS: dict[str, PieceModel] = {}
 
 
+def _ids(rows: list[bytes]) -> pa.ListArray:
+    ends = np.cumsum([0, *(len(r) // 4 for r in rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), "<i4")))
+
+
+def _encoded(doc_ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+    outer = np.cumsum([0, *(len(r[5]) for r in rows)]).astype(np.int32)
+    return pa.RecordBatch.from_arrays(
+        [
+            doc_ids,
+            pa.array([r[0] for r in rows], pa.int64()),
+            pa.array([r[1] for r in rows], pa.int64()),
+            pa.array([round(r[2], 6) for r in rows], pa.float64()),
+            pa.array([[round(r[2] - x, 6) for x in r[3]] for r in rows], pa.list_(pa.float64())),
+            pa.array([r[4] for r in rows], pa.bool_()),
+            _ids([r[5][0] for r in rows]),
+            pa.ListArray.from_arrays(pa.array(outer), _ids([x for r in rows for x in r[5]])),
+        ],
+        ["doc_id", "n_pieces", "ids_crc32", "score", "nbest_scores", "round_trip", "ids", "nbest_ids"],
+    )
+
+
 def _encode_batches(path: str, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _MODELS.get(path) or _MODELS.setdefault(path, PieceModel(path))
         for batch in batches:
             for part in arrowtext.slices(batch):
-                rows = model.encode_all(arrowtext.texts(part), n)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array([r[0] for r in rows], pa.int64()),
-                        pa.array([r[1] for r in rows], pa.int64()),
-                        pa.array([round(r[2], 6) for r in rows], pa.float64()),
-                        pa.array([[round(r[2] - x, 6) for x in r[3]] for r in rows], pa.list_(pa.float64())),
-                        pa.array([r[4] for r in rows], pa.bool_()),
-                    ],
-                    ["doc_id", "n_pieces", "ids_crc32", "score", "nbest_scores", "round_trip"],
-                )
+                rows, size, start = [], 0, 0
+                for row in model.encode_paths(arrowtext.texts(part), n):
+                    rows.append(row)
+                    size += row[0] * len(row[5])
+                    if size >= IDS_AT_ONCE:
+                        yield _encoded(part.column(0).slice(start, len(rows)), rows)
+                        start += len(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield _encoded(part.column(0).slice(start), rows)
 
     return run
 
 
 def encode_pieces(docs: DataFrame, model_path: str, n: int = 4) -> DataFrame:
-    """Encode every whole text by its best path, score its n best, and decode it again; one row per input row, no shuffle.
+    """Segment every whole text in its n best ways, and decode the best; one row per input row, no shuffle.
 
-    n_pieces and ids_crc32 are of the best path (ties to the longer last piece), nbest_scores the scores of the n best
-    in order (fewer where there are fewer), round_trip whether decoding gives the text back: a text that holds the
-    mark itself doesn't come back, since the mark stands for a space. Null and empty texts have no pieces, score 0;
-    a null doc_id stays null; repeated rows are each encoded; other columns are ignored.
+    ids are those of the best path (ties to the longer last piece), n_pieces and ids_crc32 of these; nbest_ids the ids of
+    the n best paths in order, the best again first, and nbest_scores their scores (fewer where there are fewer);
+    round_trip whether decoding gives the text back: a text that holds the mark itself doesn't come back, since the mark
+    stands for a space. Null and empty texts have no pieces, score 0; a null doc_id stays null; repeated rows are each
+    encoded; other columns are ignored.
     """
     small_batches(docs.sparkSession)
     return only(docs, doc_id="long", text="string").mapInArrow(
-        _encode_batches(model_path, n), "doc_id long, n_pieces long, ids_crc32 long, score double, nbest_scores array<double>, round_trip boolean"
+        _encode_batches(model_path, n), "doc_id long, n_pieces long, ids_crc32 long, score double, nbest_scores array<double>, round_trip boolean, ids array<int>, nbest_ids array<array<int>>"
     )
 
 

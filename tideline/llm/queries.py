@@ -39,7 +39,8 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), n=4)
+    found = encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), n=4)
+    return found.select("doc_id", "n_pieces", "ids_crc32", "score", "nbest_scores", "round_trip", F.transform("nbest_ids", F.size).alias("nbest_pieces"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
