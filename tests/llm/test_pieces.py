@@ -154,3 +154,11 @@ def test_operator_gives_the_ids_of_every_path(spark, model, monkeypatch):
         assert len(row.nbest_ids) == len(row.nbest_scores) == (4 if text else 1)
         assert zlib.crc32(np.array(row.ids, "<u4").tobytes()) == row.ids_crc32
         assert all(model.decode(ids) == (text or "").replace("▁", " ") for ids in row.nbest_ids)
+
+
+def test_trimmed_batches_are_all_there_and_memory_goes_back():
+    from tideline.llm import arrowtext
+
+    batches = [pa.RecordBatch.from_pydict({"x": [i]}) for i in range(3)]
+    assert list(arrowtext.trimmed(lambda given: (b for b in given))(iter(batches))) == batches
+    assert list(arrowtext.trimmed(S._encode_batches(PATH, 2))(iter([]))) == []

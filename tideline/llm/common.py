@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from ..functions.shared import shared_dir
 
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 BROADCAST_BYTES = 8 << 20
 
 

@@ -317,5 +317,5 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5
     Every row is judged by its own `text`, a string column, whatever its doc_id; null and empty texts stay.
     """
     for index in _indexes(benchmark, threshold, width):
-        docs = docs.mapInArrow(_clean_batches(index, overlap), docs.schema)
+        docs = docs.mapInArrow(arrowtext.trimmed(_clean_batches(index, overlap)), docs.schema)
     return docs

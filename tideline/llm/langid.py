@@ -298,4 +298,4 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
     chosen = docs.select(*keep) if sent_once else docs.select(*keep, F.col("text").cast("string").alias(fresh(keep, "text")))
     text_at = list(keep).index("text") if sent_once else len(keep)
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in chosen.schema.fields[: len(keep)])
-    return chosen.mapInArrow(_predict_batches(shared, text_at, len(keep), names), f"{schema}`{names[0]}` string, `{names[1]}` double")
+    return chosen.mapInArrow(arrowtext.trimmed(_predict_batches(shared, text_at, len(keep), names)), f"{schema}`{names[0]}` string, `{names[1]}` double")

@@ -115,7 +115,7 @@ def _sum_counts(rows: pa.Table) -> pa.Table:
 
 def _weights(sets: DataFrame) -> np.ndarray:
     """About how often the shingles of each bucket occur in the sets: an order of shingles, of bounded size however many."""
-    counted = sets.select("shingles").mapInArrow(_count_batches, "segment long, counts binary").groupBy("segment").applyInArrow(_sum_counts, "segment long, counts binary")
+    counted = sets.select("shingles").mapInArrow(arrowtext.trimmed(_count_batches), "segment long, counts binary").groupBy("segment").applyInArrow(_sum_counts, "segment long, counts binary")
     out = np.zeros((BUCKETS // SEGMENT, SEGMENT), np.uint32)
     for row in counted.collect():
         out[row.segment] = np.frombuffer(row.counts, "<u4")
@@ -239,7 +239,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, keep: tu
     clean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
     node = "struct<doc: bigint, tag: bigint>"
     carried = "".join(f", `{c}` {clean.schema[c].dataType.simpleString()}" for c in keep)
-    all_ = stage(clean.mapInArrow(_sketch_batches(width), f"doc_id long, n long, digest binary, sketch array<long>{carried}"), "sketches")
+    all_ = stage(clean.mapInArrow(arrowtext.trimmed(_sketch_batches(width)), f"doc_id long, n long, digest binary, sketch array<long>{carried}"), "sketches")
     usable = all_.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     tag = F.xxhash64("digest")
     classes = usable.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
@@ -259,19 +259,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, keep: tu
 
     members = stage(lists.select("id.doc").distinct(), "members")
     texts = clean.select("doc_id", "text").join(small(members).withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi")
-    found_sets = texts.mapInArrow(_set_batches(width), "doc_id long, digest binary, shingles binary")
+    found_sets = texts.mapInArrow(arrowtext.trimmed(_set_batches(width)), "doc_id long, digest binary, shingles binary")
     sets = stage(found_sets.select(F.struct(F.col("doc_id").alias("doc"), tag.alias("tag")).cast(node).alias("id"), "shingles").dropDuplicates(["id"]), "sets")
     drop(members)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         chosen = _joined(pairs.select("u", "v"), sets, "shingles").select("u", "v", "a_shingles", "b_shingles")
-        return stage(chosen.mapInArrow(_confirm_batches(percent), f"u {node}, v {node}"), "links")
+        return stage(chosen.mapInArrow(arrowtext.trimmed(_confirm_batches(percent)), f"u {node}, v {node}"), "links")
 
     # First, neighbours in each list by size: what is alike is soon joined.
     order = Window.partitionBy("value", "salt").orderBy("n", "id")
     near = lists.withColumn("next", F.lead("id").over(order)).withColumn("next_n", F.lead("n").over(order)).where(F.col("next").isNotNull() & (F.col("n") * 100 >= F.col("next_n") * 80))
     first = near.select(F.greatest("id", "next").alias("u"), F.least("id", "next").alias("v")).distinct()
-    estimated = _joined(first, reps, "sketch", "n").select("u", "v", "a_sketch", "b_sketch", "a_n", "b_n").mapInArrow(_estimate_batches, f"u {node}, v {node}")
+    estimated = _joined(first, reps, "sketch", "n").select("u", "v", "a_sketch", "b_sketch", "a_n", "b_n").mapInArrow(arrowtext.trimmed(_estimate_batches), f"u {node}, v {node}")
     links = confirmed(estimated)
     labels = stage(components(links), "labels")
     drop(links)
@@ -282,7 +282,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, keep: tu
     open_ = stage(told.join(mixed, "value", "left_semi").groupBy("id").agg(F.xxhash64(F.first("label")).alias("mark")), "open")
     drop(lists)
     weights = _weights(sets)
-    first_ones = sets.join(small(open_), "id").select("id", "mark", "shingles").mapInArrow(_prefix_batches(weights, percent), f"id {node}, mark long, value long, left long, n long")
+    first_ones = sets.join(small(open_), "id").select("id", "mark", "shingles").mapInArrow(arrowtext.trimmed(_prefix_batches(weights, percent)), f"id {node}, mark long, value long, left long, n long")
     entries = stage(first_ones, "entries")
     drop(open_)
     mixed = entries.groupBy("value").agg(F.min("mark").alias("low"), F.max("mark").alias("high"), F.ceil(F.count(F.lit(1)) / SALT_ROWS).alias("salts")).where("low <> high").select("value", "salts")
@@ -295,7 +295,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, keep: tu
     once = F.struct("a.salt", "a.block") < F.struct("b.salt", "b.block")
     met = a.join(b, (F.col("a.value") == F.col("b.value")) & (F.col("a.salt") == F.col("b.meets")) & once & allowed).select(F.col("a.side").alias("left"), F.col("b.side").alias("right"))
     alone = blocks.select(F.col("side").alias("left"), F.lit(None).cast(blocks.schema["side"].dataType).alias("right"))
-    pairs = stage(met.unionByName(alone).mapInArrow(_block_pairs(percent), f"u {node}, v {node}, near double").groupBy("u", "v").agg(F.max("near").alias("near")), "pairs")
+    pairs = stage(met.unionByName(alone).mapInArrow(arrowtext.trimmed(_block_pairs(percent)), f"u {node}, v {node}, near double").groupBy("u", "v").agg(F.max("near").alias("near")), "pairs")
     drop(blocks)
     if pairs.limit(1).count():
         # The likeliest partners first: most of the rest is joined by then and need not be confirmed.

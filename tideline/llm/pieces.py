@@ -32,7 +32,7 @@ from .common import only, small_batches
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES, WAYS = 80_000, 60_000
 RANK_SHIFT, PIECE_COST = 2.7, 10.0
 UNIGRAM, MERGES = 1, 2
 LETTERS_AT_ONCE = 200_000
@@ -143,12 +143,12 @@ class PieceModel:
     # --- the best paths of many words at once ---
 
     def _trie(self) -> None:
-        children: dict[tuple[int, int], int] = {}
+        children: dict[int, int] = {}
         ends: list[tuple[float, int]] = [(-math.inf, -1)]
         for piece, (score, number) in self.scores.items():
             state = 0
             for letter in map(ord, piece):
-                key = (state, letter)
+                key = (state << 21) | letter
                 if key not in children:
                     children[key] = len(ends)
                     ends.append((-math.inf, -1))
@@ -159,8 +159,7 @@ class PieceModel:
         self.slots = np.full(size, np.uint64(0xFFFFFFFFFFFFFFFF))
         self.next = np.zeros(size, dtype=np.int32)
         self.shift = np.uint64(65 - size.bit_length())
-        for (state, letter), child in children.items():
-            key = (state << 21) | letter
+        for key, child in children.items():
             slot = ((key * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF) >> int(self.shift)
             while self.slots[slot] != 0xFFFFFFFFFFFFFFFF:
                 slot = (slot + 1) & (size - 1)
@@ -303,7 +302,7 @@ class PieceModel:
         """What the n best paths of a word lose against the best, and their ids, by A*."""
         found = self.ways.get((word, n))
         if found is None:
-            if len(self.ways) > CACHE_ENTRIES // 4:
+            if len(self.ways) > WAYS:
                 self.ways.clear()
             paths = self.nbest(word, n)
             found = self.ways[word, n] = [paths[0][0] - s for s, _ in paths], [self.spell(word, p) for _, p in paths]
@@ -432,7 +431,7 @@ def encode_pieces(docs: DataFrame, model_path: str, n: int = 4) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     return only(docs, doc_id="long", text="string").mapInArrow(
-        _encode_batches(model_path, n), "doc_id long, n_pieces long, ids_crc32 long, score double, nbest_scores array<double>, round_trip boolean, ids array<int>, nbest_ids array<array<int>>"
+        arrowtext.trimmed(_encode_batches(model_path, n)), "doc_id long, n_pieces long, ids_crc32 long, score double, nbest_scores array<double>, round_trip boolean, ids array<int>, nbest_ids array<array<int>>"
     )
 
 
