@@ -131,3 +131,12 @@ def test_lost_added_and_renamed_recipes_are_found(spark, tmp_path, damage):
     assert all(r.verified for r in S.read_store(spark, a).collect())
     out = S.read_store(spark, b).collect()
     assert out and not any(r.verified for r in out if r.doc_id in (1, 2, 3))
+
+
+def test_equal_chunks_of_a_part_go_in_any_order():
+    def batch(kinds, keys):
+        n = len(keys)
+        return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array([0] * n, pa.int32()), pa.array([None] * n, pa.int64()), pa.array([1] * n, pa.int32()), pa.array(keys, pa.binary()), pa.array(keys, pa.binary())], ["kind", "part", "doc_id", "n", "key", "body"])
+
+    out = list(S._once(iter([batch([0, 0, 0], [b"a", b"b", b"a"]), batch([0, 1, 1], [b"b", b"c", b"c"]), batch([0], [b"d"])])))
+    assert [k for b in out for k in b.column(4).to_pylist()] == [b"a", b"b", b"c", b"c", b"d"]

@@ -213,15 +213,15 @@ def _cut_batches(path: str, end: int, chunk_parts: int, bounds: list[int]):
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of equal chunks, which follow each other here, the first."""
-    before = None
+    """Of equal chunks of a part the first, wherever the others are; a task holds the digests of its part, about 100 bytes a chunk."""
+    seen: set[bytes] = set()
     for batch in batches:
-        kinds, keys = batch.column(0).to_numpy(), batch.column(4).to_pylist()
-        keep = np.ones(batch.num_rows, dtype=bool)
-        for i, key in enumerate(keys):
-            if kinds[i] == 0:
-                keep[i] = key != before
-                before = key
+        keep = batch.column(0).to_numpy() != 0
+        if not keep.all():
+            for i, (other, key) in enumerate(zip(keep.tolist(), batch.column(4).to_pylist())):
+                if not other:
+                    keep[i] = key not in seen
+                    seen.add(key)
         yield batch.filter(pa.array(keep))
 
 
@@ -241,9 +241,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, end: int, path: str) -> No
     # Range bounds from a scan of doc_id alone: one number a recipe part.
     bounds = clean.agg(F.percentile_approx("doc_id", [i / recipes for i in range(1, recipes)], 10_000)).collect()[0][0] if recipes > 1 else []
     cut = clean.mapInArrow(_cut_batches(tokenizer_path, end, parts, sorted(set(bounds or []))), STORE_ROW)
-    placed = cut.repartitionById(parts + recipes, F.col("part")).sortWithinPartitions("kind", "key", "doc_id")
-    ordered = placed.mapInArrow(_once, STORE_ROW)
-    # Chunk parts hold chunks alone and recipe parts recipes alone, so the second sort finds each part in key order.
+    ordered = cut.repartitionById(parts + recipes, F.col("part")).mapInArrow(_once, STORE_ROW)
     ordered.sortWithinPartitions("kind", F.when(F.col("kind") == 1, F.col("doc_id")), "key").write.option("compression", "zstd").partitionBy("kind").parquet(path)
     _write_manifest(spark, path)
 
