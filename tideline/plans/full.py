@@ -81,7 +81,7 @@ def full_block_bootstrap(spark, sf_dir):
 
 @d.shared
 def full_bootstrap_max(spark, sf_dir):
-    return calibrate.largest_statistics(full_block_bootstrap(spark, sf_dir), a.BOOT)
+    return calibrate.bootstrap_maxima(a.paths(spark, sf_dir), a.BOOT, REPLICATES, 10)
 
 
 def full_threshold_search(spark, sf_dir):
